@@ -66,9 +66,8 @@ def meaning(key: Column) -> Column:
     return found
 
 
-def json_type(value: Column) -> Column:
-    """string, boolean, integer, decimal, array or object; null for a JSON null."""
-    t = F.schema_of_variant(value)
+def json_type(t: Column) -> Column:
+    """string, boolean, integer, decimal, array or object of a VARIANT's schema; null for a JSON null."""
     digits = F.regexp_extract(t, r"^DECIMAL\((\d+),0\)$", 1).try_cast("int")
     return (
         F.when(t == "VOID", F.lit(None).cast("string"))
@@ -87,16 +86,19 @@ def _whole(records: DataFrame) -> DataFrame:
 
 
 def paths(records: DataFrame) -> DataFrame:
-    """file_id, row_no, key, type, value: one row per record and key."""
+    """file_id, row_no, key, schema, value: one row per record and key, the schema as VARIANT names it."""
     rows = _whole(records).select("file_id", "row_no", F.try_parse_json("record").alias("_v"))
     each = records.sparkSession.sql("SELECT file_id, row_no, e.key, e.value FROM {rows}, LATERAL variant_explode(_v) AS e WHERE e.key IS NOT NULL", rows=rows)
-    return each.select("file_id", "row_no", "key", json_type(F.col("value")).alias("type"), F.col("value").cast("string").alias("value"))
+    return each.select("file_id", "row_no", "key", F.schema_of_variant("value").alias("schema"), F.col("value").cast("string").alias("value"))
 
 
 def file_statistics(records: DataFrame) -> DataFrame:
     """Per file and key: the field it stands for, rows, values by type, and values that are short as flags and directions are."""
-    compact = (F.length("value") <= 12) & ~F.coalesce(F.abs(F.col("value").try_cast("double")) > 9, F.lit(False))
-    by_type = paths(records).groupBy("file_id", "key", "type").agg(F.count(F.lit(1)).alias("rows"), F.sum(compact.cast("long")).alias("compact"))
+    # No cast: a failed one costs an exception per value. Two digits in front are a number above 9, a count.
+    digit = lambda at: F.substring("value", at, 1).between("0", "9")
+    compact = (F.length("value") <= 12) & ~(digit(1) & digit(2))
+    by_schema = paths(records).groupBy("file_id", "key", "schema").agg(F.count(F.lit(1)).alias("rows"), F.sum(compact.cast("long")).alias("compact"))
+    by_type = by_schema.groupBy("file_id", "key", json_type(F.col("schema")).alias("type")).agg(F.sum("rows").alias("rows"), F.sum("compact").alias("compact"))
     return (
         by_type.groupBy("file_id", "key")
         .agg(
