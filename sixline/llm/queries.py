@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from sixline.llm import bpe, split
+from sixline.llm import bpe, mix, split
 from sixline.session import table
 
 
@@ -21,7 +20,15 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p6_ids)}
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mix.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mix.shares(p7_mix(spark, d), table(spark, d, "mix_targets"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p6_ids, p7_mix, p7_shares)}
 
 ORACLE = {
     "p3_found": r"""SELECT scene_id, CAST(regexp_matches(scene_text, '[^\s.,;:!?。，；：！？、\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{801}') AS INTEGER) AS forced
