@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sixline.llm import bpe, cluster, mix, split
+from sixline.llm import bpe, cluster, cutoff, mix, split
 from sixline.session import table
 
 
@@ -40,7 +40,15 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix.shares(p7_mix(spark, d), table(spark, d, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p4_found, p4_groups, p6_ids, p7_mix, p7_shares)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return cutoff.truncated(table(spark, d, "documents")).select("doc_id")
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    return cutoff.rates(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p4_found, p4_groups, p6_ids, p7_mix, p7_shares, p8_found, p8_rates)}
 
 ORACLE = {
     "p3_found": r"""SELECT scene_id, CAST(regexp_matches(scene_text, '[^\s.,;:!?。，；：！？、\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{801}') AS INTEGER) AS forced
