@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sixline.plans import data
+from sixline.plans import data, scoring, symbols
 
-_MODULES = (data,)
+_MODULES = (data, symbols, scoring)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
