@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sixline.plans import data, scoring, symbols
+from sixline.plans import data, scoring, symbols, tables_plans
 
-_MODULES = (data, symbols, scoring)
+_MODULES = (data, symbols, scoring, tables_plans)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

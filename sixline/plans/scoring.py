@@ -260,7 +260,7 @@ def _mechanics(x: Dialect) -> str:
     total = f"greatest(1, {att} + {rep})"
     mv = c(f"({att} + {rep}) / 6")
     bv = c("1.3 * least(1, power(por, 1.5))")
-    egg = c("1 - 0.6 * abs(id - 33.5) / 33.5")
+    egg = c("1 - 0.6 * abs(id - CAST(33.5 AS DOUBLE)) / CAST(33.5 AS DOUBLE)")
     return f"""SELECT id, slider, round({c(f'0.3 * {cf} + 0.3 * {vs} + 0.2 * ({rep}) / {total}')}, 6) AS chaos, round({c(f'0.4 * {cf} + 0.2 * {vs} + 0.3 * {mv}')}, 6) AS whimsy,
       round({c(f'0.4 * {bv} + 0.3 * ({rep}) / {total}')}, 6) AS dark, round({c(f'0.5 * {res} + 0.3 * {cf} + 0.2 * ({att}) / {total}')}, 6) AS coherence, round({c(f'0.4 * {egg} + 0.3 * {vs} + 0.3 * {res}')}, 6) AS voice FROM {base} AS m"""
 
