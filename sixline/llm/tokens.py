@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -13,6 +14,8 @@ from sixline.llm import bpe
 from sixline.llm.spread import spread
 
 FOLDER = "/opt/tokenizers"
+#: Words whose sizes a worker keeps; beyond it, it starts anew.
+KEPT = 400_000
 
 
 def counter(name: str, folder: str = FOLDER) -> Callable[[list[str]], list[int]]:
@@ -35,7 +38,23 @@ def counter(name: str, folder: str = FOLDER) -> Callable[[list[str]], list[int]]
 
     own = Tokenizer.from_file(path)
     own.encode_special_tokens = True
-    return lambda texts: [len(e.ids) for e in own.encode_batch(texts, add_special_tokens=False)]
+    known: dict[str, int] = {}
+    find = re.compile(r"(?:\S|[\x1c-\x1f])+").findall  # the four separators are no white space to the vocabularies
+
+    def by_words(texts: list[str]) -> list[int]:
+        # These vocabularies drop white space before anything else, so words don't touch each other:
+        # each distinct one is encoded once per worker.
+        split = [find(t) for t in texts]
+        new = list({w for words in split for w in words if w not in known})
+        if len(known) > KEPT:
+            known.clear()
+            new = list({w for words in split for w in words})
+        for i in range(0, len(new), 1024):
+            part = new[i : i + 1024]
+            known.update(zip(part, (len(e.ids) for e in own.encode_batch(part, add_special_tokens=False))))
+        return [sum(known[w] for w in words) for words in split]
+
+    return by_words
 
 
 def sizes(df: DataFrame, keep: Sequence[str], text: str, names: Sequence[str], folder: str = FOLDER) -> DataFrame:
