@@ -163,9 +163,9 @@ def _level(from_end: int):
     return F.regexp_replace(key, r"^input\s*=\s*", "")
 
 
-def ranked(captures: DataFrame, _nodes: DataFrame | None = None) -> DataFrame:
+def ranked(captures: DataFrame) -> DataFrame:
     """capture_id, label, parent_label, level, pos, hexagram_id: the elements of top12."""
-    n = shred(captures, ["capture_id"], "payload", _TOP12) if _nodes is None else _nodes.filter(F.col("path").rlike(f"^{_TOP12}$"))
+    n = shred(captures, ["capture_id"], "payload", _TOP12)
     nested = F.col("path").rlike(r"\.top12\[\].+$")
     first = ~F.col("path").rlike(r"\.top12\[\]\[\]$") | (ordinal(1) == 0)
     rows = n.filter(_scalar() & first)
@@ -178,9 +178,9 @@ def ranked(captures: DataFrame, _nodes: DataFrame | None = None) -> DataFrame:
     ).filter("hexagram_id IS NOT NULL")
 
 
-def scores(captures: DataFrame, _nodes: DataFrame | None = None) -> DataFrame:
+def scores(captures: DataFrame) -> DataFrame:
     """capture_id, label, parent_label, level, grp, pos, hex_score: the score details."""
-    n = shred(captures, ["capture_id"], "payload", _SCORE) if _nodes is None else _nodes.filter(F.col("path").rlike(f"^{_SCORE}$"))
+    n = shred(captures, ["capture_id"], "payload", _SCORE)
     inner = F.col("path").endswith(".scores.hex_score").cast("int")
     array = F.col("path").rlike(r"first3\[\]\[\]").cast("int")
     up = 1 + inner  # from the score to its detail

@@ -15,30 +15,40 @@ _OUT = "user_id long, event_id long, ts timestamp, event_type string, tick long,
 _STATE = "tick long, chaos array<double>, whimsy array<double>"
 
 
-def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _advance(idle_ms: int | None):
     """Tick and momentum of one user's new events: the state holds the tick and the last three raw axes."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    tick, chaos, whimsy = state.get if state.exists else (0, [], [])
-    chaos, whimsy = list(chaos), list(whimsy)
-    rows = pd.concat(list(frames)).sort_values(["ts", "event_id"], ignore_index=True)
-    ticks, lifted = [], []
-    for c, w in zip(rows["chaos"], rows["whimsy"]):
-        tick += 1
-        ticks.append(tick)
-        lifted.append(min(1.0, c + 0.1 * (sum(chaos) / 3 + sum(whimsy) / 3) / 2) if len(chaos) == 3 else c)
-        chaos, whimsy = (chaos + [c])[-3:], (whimsy + [w])[-3:]
-    state.update((tick, chaos, whimsy))
-    state.setTimeoutDuration(24 * 3600 * 1000)
-    yield rows.assign(tick=ticks, chaos_m=lifted)[["user_id", "event_id", "ts", "event_type", "tick", "chaos", "whimsy", "dark", "chaos_m"]]
-
-
-def states(events: DataFrame) -> DataFrame:
-    """A stream of events as packed states. Late events within a batch are put in order; over batches they come as they arrive."""
+
+    def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        tick, chaos, whimsy = state.get if state.exists else (0, [], [])
+        chaos, whimsy = list(chaos), list(whimsy)
+        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"], ignore_index=True)
+        ticks, lifted = [], []
+        for c, w in zip(rows["chaos"].tolist(), rows["whimsy"].tolist()):
+            tick += 1
+            ticks.append(tick)
+            lifted.append(min(1.0, c + 0.1 * (sum(chaos) / 3 + sum(whimsy) / 3) / 2) if len(chaos) == 3 else c)
+            chaos, whimsy = (chaos + [c])[-3:], (whimsy + [w])[-3:]
+        state.update((tick, chaos, whimsy))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
+        yield rows.assign(tick=ticks, chaos_m=lifted)[["user_id", "event_id", "ts", "event_type", "tick", "chaos", "whimsy", "dark", "chaos_m"]]
+
+    return advance
+
+
+def states(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """A stream of events as packed states. Late events within a batch are put in order; over batches they come as they arrive.
+
+    With ``idle_ms`` a user's state is dropped after so long without events; such a stream keeps
+    running batches without data to look for idle users, so it doesn't end by itself.
+    """
     key = F.col("event_id").cast("string")
     raw = events.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", md5_axis(key, 1).alias("chaos"), md5_axis(key, 3).alias("whimsy"), md5_axis(key, 5).alias("dark"))
-    moved = raw.groupBy("user_id").applyInPandasWithState(_advance, _OUT, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    moved = raw.groupBy("user_id").applyInPandasWithState(_advance(idle_ms), _OUT, _STATE, "append", timeout)
     return packed(moved)
 
 

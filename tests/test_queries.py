@@ -100,8 +100,7 @@ def test_stream_gives_batch_result(spark, tmp_path):
     events = table(spark, DATA, "events").repartition(1).sortWithinPartitions("ts", "event_id")
     events.write.parquet(str(tmp_path / "in"))
     stream = streaming.states(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")))
-    query = stream.writeStream.format("memory").queryName("out").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
-    query.processAllAvailable()
-    query.stop()
+    query = stream.writeStream.format("memory").queryName("out").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert query.awaitTermination(180)
     want = {(r.event_id, r.tick, r.bits) for r in sessions.packed(sessions.with_momentum(sessions.with_axes(events))).collect()}
     assert {(r.event_id, r.tick, r.bits) for r in spark.table("out").collect()} == want
