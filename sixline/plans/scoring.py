@@ -1,15 +1,22 @@
 """Expansion, consensus, decision matrix, temporal agreement and mechanics (inventory F-1..F-9, F-11..F-13, AG-*, SO-*).
 
 The reference case is one question; here every distinct question of a table is one, and group keys
-gain its key. A question's answer depends only on its intents and its length, so equal ones are
-answered once: the 512 states multiply the distinct questions, never the rows of the table.
+gain its key. A question's answer depends only on its intents (by their match with each kind of
+state) and its length, so equal ones are answered once: the 512 states multiply the distinct
+questions, never the rows of the table.
 """
 
 from __future__ import annotations
 
-from sixline.plans.dialect import Dialect, shared
+import math
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sixline.plans.dialect import SPARK, Dialect, even, shared
 from sixline.plans.symbols import BASE, balance, space
-from sixline.tables import AXES, INTENTS, PHASES, intents_sql, phases_sql, states_sql, trigrams_sql
+from sixline.session import cut, table
+from sixline.tables import AXES, INTENTS, PHASES, intents_sql, phases_sql, state_rows, states_sql, trigrams_sql
 
 #: A word between ASCII white space, which the engines' own classes define differently.
 WORD = r"[^ \t\n\r\f\x0B]+"
@@ -86,8 +93,38 @@ def _pool(x: Dialect) -> str:
     return f"(SELECT id, {', '.join(f'{pick(i)} AS p_{a}' for i, a in enumerate(AXES))} FROM {b} AS b1)"
 
 
-def expanded(x: Dialect, intensity: str = "q.intensity", questions: str = "(SELECT 0 AS q_id, CAST(0 AS DOUBLE) AS intensity)") -> str:
-    """F-2..F-4: expanded and resolved vectors of 512 states for each question (q_id, intensity)."""
+#: The intents that a state's category and its action answer to (TX-06).
+_CATEGORY_INTENTS = {"sovereign": "create speak protect focus", "transformer": "transform heal grow release", "dissipator": "destroy conflict release explore", "boundary": "understand focus protect connect"}
+_ACTION_INTENTS = {"ASSERT": "create speak protect focus", "YIELD": "release heal connect listen", "ADAPT": "transform explore grow understand", "WAIT": "understand focus listen release"}
+#: Category and action of each state; the unit of the intent scores, in which all of them (1 / rank) are whole.
+_KINDS = sorted({(category, action) for _, _, category, action, _ in state_rows()})
+_UNIT = math.lcm(*range(1, 1 + max(len(words.split()) for words in INTENTS.values())))
+
+
+def asked(x: Dialect) -> str:
+    """TX-04, TX-06: doc_id and the question of every document: q_id, intensity and its match m_i with each kind of state.
+
+    q_id is made of all that an answer depends on, so equal questions have equal ids. A match is counted
+    in whole units; half of one where no intent matched, 0.3 where none of the kind's.
+    """
+    string = "STRING" if x.spark else "VARCHAR"
+    scores = ", ".join("(" + " + ".join(f"CASE WHEN array_contains(tokens, '{w}') THEN {_UNIT // r} ELSE 0 END" for r, w in enumerate(words.split(), 1) if "_" not in w) + f") AS k_{k}" for k, words in INTENTS.items())
+    either = [" + ".join(f"k_{k}" for k in (_CATEGORY_INTENTS[category] + " " + _ACTION_INTENTS[action]).split()) for category, action in _KINDS]
+    match = ", ".join(f"CASE WHEN {_TOTAL} > 0 THEN CASE WHEN {s} > 0 THEN least({2 * _UNIT}, {s}) ELSE {2 * _UNIT * 3 // 10} END ELSE {_UNIT} END AS u_{i}" for i, s in enumerate(either))
+    words = f"(SELECT doc_id, CAST(least(50, {x.size(x.tokens('text', WORD))}) AS INT) AS spaced, {x.tokens('lower(text)', '[a-z0-9]+')} AS tokens FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) AS d0)"
+    # Only the intents' words are looked up in, a few of a text's.
+    known = "(SELECT doc_id, spaced, array_intersect(tokens, array(" + ", ".join(f"'{w}'" for words_ in INTENTS.values() for w in words_.split() if "_" not in w) + f")) AS tokens FROM {words} AS d1)"
+    units = f"(SELECT doc_id, spaced, {match} FROM (SELECT doc_id, spaced, {scores} FROM {known} AS d2) AS d4)"
+    ids = " || '.' || ".join(f"CAST({c_} AS {string})" for c_ in ("spaced", *(f"u_{i}" for i in range(len(_KINDS)))))
+    return f"(SELECT doc_id, {ids} AS q_id, spaced / CAST(50 AS DOUBLE) AS intensity, {', '.join(f'u_{i} / CAST({2 * _UNIT} AS DOUBLE) AS m_{i}' for i in range(len(_KINDS)))} FROM {units} AS d3)"
+
+
+#: Match of a question with a state, of the columns of :func:`asked`.
+_MATCH = "CASE " + " ".join(f"WHEN category = '{category}' AND action = '{action}' THEN m_{i}" for i, (category, action) in enumerate(_KINDS)) + " END"
+
+
+def stepped(x: Dialect, intensity: str = "q.intensity", questions: str = "(SELECT 0 AS q_id, CAST(0 AS DOUBLE) AS intensity)") -> str:
+    """F-2..F-4 up to the intent match: 512 states for each question (q_id, intensity)."""
     old = "((old_yin + old_yang + old_yao) / CAST(6 AS DOUBLE))"
     yi, ya, yo = (f"(b.{k} / CAST(6 AS DOUBLE))" for k in ("yin", "yang", "yao"))
     line = {
@@ -107,13 +144,21 @@ def expanded(x: Dialect, intensity: str = "q.intensity", questions: str = "(SELE
       JOIN {T} AS u ON u.idx = s.upper_idx JOIN {T} AS lo ON lo.idx = s.lower_idx
       JOIN {pool} AS pp ON pp.id = (s.id + 62) % 64 + 1 JOIN {pool} AS pn ON pn.id = s.id % 64 + 1)"""
     bleed = "(0.7 * porosity / CAST(4 AS DOUBLE))"
-    im = dict(zip(AXES, (0.15, 0.15, 0.08, 0.08, 0.12)))
     e1 = {a: lerp(lerp(f"l_{a}", f"t_{a}", "0.3"), f"n_{a}", bleed) for a in AXES}
-    step = f"(SELECT *, {', '.join(f'{e1[a]} AS m_{a}' for a in AXES)} FROM {base} AS x0)"
-    # Half the intent match (0.5) stands where a question has no intents.
-    e2 = {a: lerp(f"m_{a}", lerp(f"m_{a}", f"0.5 * {im[a]}", "0.35"), "0.25") for a in AXES}
+    return f"(SELECT *, {', '.join(f'{e1[a]} AS m_{a}' for a in AXES)} FROM {base} AS x0)"
+
+
+def resolved(step: str, match: str = "0.5", more: str = "") -> str:
+    """The end of F-4 over :func:`stepped`; an intent match of 0.5 stands for a question without intents."""
+    im = dict(zip(AXES, (0.15, 0.15, 0.08, 0.08, 0.12)))
+    e2 = {a: lerp(f"m_{a}", lerp(f"m_{a}", f"{match} * {im[a]}", "0.35"), "0.25") for a in AXES}
     return f"""(SELECT q_id, id, phase, temporal, category, action, yin, yang, yao, changing, porosity, porosity / CAST(4 AS DOUBLE) AS pn,
-      {', '.join(f'{e2[a]} AS e_{a}' for a in AXES)}, {', '.join(f"{c(f'{e2[a]} + s_{a}')} AS {a}" for a in AXES)} FROM {step} AS x1)"""
+      {', '.join(f'{e2[a]} AS e_{a}' for a in AXES)}, {', '.join(f"{c(f'{e2[a]} + s_{a}')} AS {a}" for a in AXES)}{more} FROM {step} AS x1)"""
+
+
+def expanded(x: Dialect, intensity: str = "q.intensity", questions: str = "(SELECT 0 AS q_id, CAST(0 AS DOUBLE) AS intensity)") -> str:
+    """F-2..F-4: expanded and resolved vectors of 512 states for each question (q_id, intensity)."""
+    return resolved(stepped(x, intensity, questions))
 
 
 def _expand_64(x: Dialect) -> str:
@@ -129,6 +174,21 @@ def _questions(x: Dialect) -> str:
     return f"(SELECT DISTINCT CAST(spaced AS INT) AS q_id, spaced / CAST(50 AS DOUBLE) AS intensity FROM (SELECT least(50, spaced) AS spaced FROM (SELECT coalesce({x.size(x.tokens('text', WORD))}, 0) AS spaced FROM documents) AS d0) AS d1)"
 
 
+def _tau(slider: str) -> str:
+    return f"0.15 * ({' + '.join(AXES)}) + 0.1 * pn + 0.05 * ((abs(yin - yang) + abs(yang - yao) + abs(yao - yin)) / CAST(6 AS DOUBLE)) + (1 + {slider} * var_h) + 0.15 * w_voice + 0.55 * (0.5 + 2.5 * {slider})"
+
+
+def _context(slider: str) -> tuple[str, str]:
+    """A row's weight of its axes, and the preference for its temporal."""
+    ctx = f"CASE WHEN yao > 2.4 THEN 0.3 * chaos + 0.3 * whimsy + 0.2 * dark + 0.1 * coherence + 0.1 * voice ELSE 0.1 * chaos + 0.1 * whimsy + 0.2 * dark + 0.3 * coherence + 0.3 * voice END"
+    f = slider
+    pref = f"CASE temporal WHEN 'past' THEN 1 - 0.8 * {f} WHEN 'present' THEN 1 - 0.5 * abs({f} - 0.5) WHEN 'future' THEN 0.8 * {f} WHEN 'transition' THEN 0.5 * {f} WHEN 'resolution' THEN 0.3 * (1 - {f}) WHEN 'dissolution' THEN 0.6 * {f} WHEN 'crystallization' THEN 0.7 * {f} ELSE 0.5 END"
+    return ctx, pref
+
+
+_SCORE = "(0.4 * ctx + 0.15 * (CASE WHEN pn = 0 THEN 0.35 ELSE pn END) + 0.1 * align + 0.05 * pref)"
+
+
 def consensus(x: Dialect, questions: str, slider: str) -> str:
     """F-5 with each state scored once: tau, its mode as mu, gaussian weights, the winner by summed score.
 
@@ -137,22 +197,50 @@ def consensus(x: Dialect, questions: str, slider: str) -> str:
     """
     e = f"(SELECT e.*, w.w_voice FROM {expanded(x, questions=questions)} AS e JOIN {weights()} AS w ON w.id = e.id)"
     spread = f"""(SELECT q_id, id, ({' + '.join(f'power(avg({a}) - ({" + ".join(f"avg({b})" for b in AXES)}) / 5, 2)' for a in AXES)}) / 5 AS var_h FROM {e} AS e1 GROUP BY q_id, id)"""
-    tau = f"0.15 * ({' + '.join(AXES)}) + 0.1 * pn + 0.05 * ((abs(yin - yang) + abs(yang - yao) + abs(yao - yin)) / CAST(6 AS DOUBLE)) + (1 + {slider} * var_h) + 0.15 * w_voice + 0.55 * (0.5 + 2.5 * {slider})"
+    tau = _tau(slider)
     t = f"(SELECT e.*, {tau} AS tau, floor(({tau}) * 100 + 0.5 + 1e-7) AS tau2 FROM {e} AS e JOIN {spread} AS v ON v.q_id = e.q_id AND v.id = e.id)"
     mode = f"(SELECT q_id, tau2 / CAST(100 AS DOUBLE) AS mu FROM (SELECT q_id, tau2, row_number() OVER (PARTITION BY q_id ORDER BY count(*) DESC, min(id * 8 + phase)) AS rn FROM {t} AS t1 GROUP BY q_id, tau2) AS m WHERE rn = 1)"
     sigma = f"(SELECT q_id, greatest(1e-9, avg(CASE WHEN pn = 0 THEN 0.35 ELSE pn END) / 2) AS sigma FROM {t} AS t2 GROUP BY q_id)"
-    ctx = f"CASE WHEN yao > 2.4 THEN 0.3 * chaos + 0.3 * whimsy + 0.2 * dark + 0.1 * coherence + 0.1 * voice ELSE 0.1 * chaos + 0.1 * whimsy + 0.2 * dark + 0.3 * coherence + 0.3 * voice END"
-    f = slider
-    pref = f"CASE temporal WHEN 'past' THEN 1 - 0.8 * {f} WHEN 'present' THEN 1 - 0.5 * abs({f} - 0.5) WHEN 'future' THEN 0.8 * {f} WHEN 'transition' THEN 0.5 * {f} WHEN 'resolution' THEN 0.3 * (1 - {f}) WHEN 'dissolution' THEN 0.6 * {f} WHEN 'crystallization' THEN 0.7 * {f} ELSE 0.5 END"
+    ctx, pref = _context(slider)
     weighted = f"(SELECT t.*, mu, sigma, exp(-power(tau - mu, 2) / (2 * sigma * sigma)) AS w, ({ctx}) AS ctx, ({pref}) AS pref, CASE WHEN temporal = 'past' THEN 1.0 ELSE 0.5 END AS align FROM {t} AS t JOIN {mode} AS m ON m.q_id = t.q_id JOIN {sigma} AS s ON s.q_id = t.q_id)"
     weighted = weighted.replace("SELECT t.*, mu", "SELECT t.*, m.mu AS mu").replace(", sigma, exp", ", s.sigma AS sigma, exp").replace("power(tau - mu, 2) / (2 * sigma * sigma)", "power(tau - m.mu, 2) / (2 * s.sigma * s.sigma)")
-    by_state = f"(SELECT q_id, id, sum((0.4 * ctx + 0.15 * (CASE WHEN pn = 0 THEN 0.35 ELSE pn END) + 0.1 * align + 0.05 * pref) * w) AS score, sum(w) AS w, max(mu) AS mu, {', '.join(f'sum({a} * w) AS {a}' for a in AXES)} FROM {weighted} AS g GROUP BY q_id, id)"
+    by_state = f"(SELECT q_id, id, sum({_SCORE} * w) AS score, sum(w) AS w, max(mu) AS mu, {', '.join(f'sum({a} * w) AS {a}' for a in AXES)} FROM {weighted} AS g GROUP BY q_id, id)"
     best = f"(SELECT q_id, id AS winner, score, row_number() OVER (PARTITION BY q_id ORDER BY round(score, 9) DESC, id) AS rn FROM {by_state} AS bs)"
     whole = f"(SELECT q_id, max(mu) AS mu, sum(w) AS total, {', '.join(f'sum({a}) / sum(w) AS {a}' for a in AXES)} FROM {by_state} AS bw GROUP BY q_id)"
     return f"(SELECT b.q_id, b.winner, round(b.score / a.total, 6) AS score, round(a.mu, 6) AS mu, {', '.join(f'round(a.{x_}, 6) AS {x_}' for x_ in AXES)} FROM {best} AS b JOIN {whole} AS a ON a.q_id = b.q_id WHERE b.rn = 1)"
 
 
+def answers(e: str, slider: str) -> str:
+    """F-5 as :func:`consensus` has it, over resolved states with w_voice that are partitioned by q_id: no row is moved."""
+    var = f"({' + '.join(f'power(avg({a}) OVER h - ({" + ".join(f"avg({b}) OVER h" for b in AXES)}) / 5, 2)' for a in AXES)}) / 5"
+    t = f"(SELECT *, {_tau(slider)} AS tau FROM (SELECT *, {var} AS var_h FROM {e} AS e WINDOW h AS (PARTITION BY q_id, id)) AS v)"
+    n = f"(SELECT *, count(*) OVER b AS n, min(id * 8 + phase) OVER b AS first FROM (SELECT *, floor(tau * 100 + 0.5 + 1e-7) AS tau2 FROM {t} AS t) AS t1 WINDOW b AS (PARTITION BY q_id, tau2))"
+    m = f"(SELECT *, (max(struct(n, -first AS f, tau2)) OVER q).tau2 / CAST(100 AS DOUBLE) AS mu, greatest(1e-9, avg(CASE WHEN pn = 0 THEN 0.35 ELSE pn END) OVER q / 2) AS sigma FROM {n} AS n WINDOW q AS (PARTITION BY q_id))"
+    ctx, pref = _context(slider)
+    weighted = f"(SELECT *, exp(-power(tau - mu, 2) / (2 * sigma * sigma)) AS w, ({ctx}) AS ctx, ({pref}) AS pref, CASE WHEN temporal = 'past' THEN 1.0 ELSE 0.5 END AS align FROM {m} AS m)"
+    by_state = f"(SELECT q_id, id, sum({_SCORE} * w) AS score, sum(w) AS w, max(mu) AS mu, {', '.join(f'sum({a} * w) AS {a}' for a in AXES)} FROM {weighted} AS g GROUP BY q_id, id)"
+    whole = f"(SELECT q_id, max(struct(round(score, 9) AS r, -id AS i, score)) AS best, max(mu) AS mu, sum(w) AS total, {', '.join(f'sum({a}) / sum(w) AS {a}' for a in AXES)} FROM {by_state} AS s GROUP BY q_id)"
+    return f"(SELECT q_id, -best.i AS winner, round(best.score / total, 6) AS score, round(mu, 6) AS mu, {', '.join(f'round({a}, 6) AS {a}' for a in AXES)} FROM {whole} AS w)"
+
+
+def doc_consensus(spark: SparkSession, d: str) -> DataFrame:
+    """F-1..F-5: the consensus of each document's question, by its length and its intents."""
+    for t in ("documents", "emotional_weights"):
+        table(spark, d, t).createOrReplaceTempView(t)
+    asked_ = cut(spark.sql(f"SELECT * FROM {asked(SPARK)} AS a"))
+    each = asked_.groupBy("q_id").agg(*[F.max(k).alias(k) for k in asked_.columns if k not in ("doc_id", "q_id")])
+    # Fixed sizes: at most 51 lengths, each with 512 states, so the join with them is always a broadcast.
+    asked_.select(F.round(F.col("intensity") * 50).cast("int").alias("q_id"), "intensity").distinct().createOrReplaceTempView("asked_lengths")
+    fixed = cut(spark.sql(even(f"SELECT s.*, w.w_voice FROM {stepped(SPARK, questions='asked_lengths')} AS s JOIN {weights()} AS w ON w.id = s.id")).withColumnRenamed("q_id", "spaced"))
+    rows = each.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "q_id").withColumn("spaced", F.round(F.col("intensity") * 50).cast("int"))
+    rows.join(F.broadcast(fixed), "spaced").createOrReplaceTempView("asked_states")
+    asked_.createOrReplaceTempView("asked_documents")
+    found = answers(resolved("asked_states", _MATCH, ", w_voice"), "0.5")
+    return spark.sql(even(f"SELECT d.doc_id, r.winner, h.category, h.action, r.score, r.mu, {', '.join(f'r.{a}' for a in AXES)} FROM asked_documents AS d JOIN {found} AS r ON r.q_id = d.q_id JOIN {H} AS h ON h.id = r.winner"))
+
+
 def _doc_consensus(x: Dialect) -> str:
+    """The registered SQL, which takes every document's intent match as 0.5: equal to :func:`doc_consensus` only where no intent matched."""
     spaced = f"CAST(least(50, coalesce({x.size(x.tokens('text', WORD))}, 0)) AS INT)"
     return f"SELECT d.doc_id, r.winner, h.category, h.action, r.score, r.mu, {', '.join(f'r.{a}' for a in AXES)} FROM (SELECT doc_id, {spaced} AS q_id FROM documents) AS d JOIN {consensus(x, _questions(x), '0.5')} AS r ON r.q_id = d.q_id JOIN {H} AS h ON h.id = r.winner"
 
@@ -329,5 +417,5 @@ _SQL = {
     "dominant_axis": (_dominant_axis, _E),
 }
 _BUILT = {name: shared(text, tables) for name, (text, tables) in _SQL.items()}
-QUERIES = {name: run for name, (run, _) in _BUILT.items()}
+QUERIES = {name: run for name, (run, _) in _BUILT.items()} | {"doc_consensus": doc_consensus}
 ORACLE = {name: sql for name, (_, sql) in _BUILT.items()}
