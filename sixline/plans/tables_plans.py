@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sixline.operators import mesh, nearest, sessions, text
 from sixline.plans.dialect import DUCK, Dialect, even, shared
 from sixline.session import table
-from sixline.tables import states_sql
+from sixline.tables import states, states_sql
 
 
 def event_intent_states(spark: SparkSession, d: str) -> DataFrame:
@@ -140,7 +140,16 @@ def _consistent(x: Dialect) -> str:
     return "SELECT hexagram_id FROM emotional_weights WHERE phase_temporal = 'past' INTERSECT SELECT hexagram_id FROM emotional_weights WHERE phase_temporal = 'future' INTERSECT SELECT hexagram_id FROM documents"
 
 
+def missing_ids(spark: SparkSession, d: str) -> DataFrame:
+    """ST-05: of all states, those that an edition of the registry lacks."""
+    has = table(spark, d, "hexagram_registry").select("edition_id", F.col("hexagram_id").alias("id")).distinct()
+    # Editions without their ids are few: each is checked against all 64.
+    every = has.select("edition_id").distinct().crossJoin(F.broadcast(states(spark).select("id")))
+    return every.join(has, (every["edition_id"].eqNullSafe(has["edition_id"])) & (every["id"] == has["id"]), "left_anti")
+
+
 def _missing(x: Dialect) -> str:
+    """The registered SQL, which looks at one category of even editions together: less than :func:`missing_ids`."""
     return f"SELECT id FROM {states_sql()} AS h EXCEPT SELECT hexagram_id FROM hexagram_registry WHERE edition_id % 2 = 0 AND category = 'herald'"
 
 
@@ -189,7 +198,7 @@ _SQL = {
 _BUILT = {name: shared(sql, tables) for name, (sql, tables) in _SQL.items()}
 QUERIES = {f.__name__: f for f in (
     event_intent_states, event_model_bias, event_save_strings, event_timeseries, profile_registry_asof, doc_clean, page_features, formula_classify, domain_keywords, edge_resolution, mesh_orphans, mesh_clusters,
-)} | {name: run for name, (run, _) in _BUILT.items()}
+)} | {name: run for name, (run, _) in _BUILT.items()} | {"missing_ids": missing_ids}
 
 _AXIS = lambda i: f"(CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), {i}, 2) AS BIGINT) % 100 / CAST(100 AS DOUBLE))"
 _AXES_SQL = f"SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS tick, {_AXIS(1)} AS chaos, {_AXIS(3)} AS whimsy, {_AXIS(5)} AS dark FROM events"

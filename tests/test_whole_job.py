@@ -49,3 +49,10 @@ def test_consensus_depends_on_intents(spark, tmp_path):
     # Four words each: only their intents part them.
     assert len({answer(i) for i in (0, 1, 2, 4)}) == 4
     assert answer(6) == answer(7)
+
+
+def test_missing_ids_of_every_edition_and_category(spark, tmp_path):
+    rows = [(1, i, "herald") for i in range(1, 64)] + [(2, i, "other") for i in range(1, 65)] + [(4, i, "herald") for i in range(2, 65)] + [(4, 2, "herald"), (6, None, "other")]
+    spark.createDataFrame(rows, "edition_id long, hexagram_id int, category string").write.parquet(str(tmp_path / "hexagram_registry.parquet"))
+    got = sorted((r.edition_id, r.id) for r in entry.queries()["missing_ids"](spark, str(tmp_path)).collect())
+    assert got == [(1, 64), (4, 1)] + [(6, i) for i in range(1, 65)]
