@@ -7,12 +7,14 @@ the points nearest to them, are reduced to k seeds; a few Lloyd passes follow. O
 per centroid, whose number is a parameter, come to the driver.
 
 Clusters (:func:`tight`) are then found within the k-means cells. A cell is taken with a halo of
-twice the radius, so every set of diameter ``radius`` lies whole in the cell of each of its members.
+four times the radius, so all that is linked to a set of diameter ``radius`` lies in the cell of each
+of the set's members: what a cell proves a cluster is a whole component of all points.
 Within a cell the points are reduced to a grid of the radius' width, with the extent of each grid
 cell in fixed directions: its size depends on the space, not on the number of points. Linked grid
 cells give components; extents over all directions bound a component's diameter from above, so a
 component is proved a cluster without comparing its points. Only components that this doesn't
-settle are looked at again on finer grids and last point by point.
+settle are looked at again on finer grids, and last point by point: then each point counts once, in
+the component that it has over all cells, and one task resolves a component.
 
 Defined results
 * a record given several times counts once, by its latest delivery
@@ -33,6 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sixline.llm.spread import spread
+from sixline.operators import mesh
 from sixline.session import cut
 
 #: Number of centroids, seeding rounds, candidates of a round for each centroid, Lloyd passes.
@@ -290,7 +293,7 @@ def _in_cells(x: np.ndarray, project: np.ndarray, centroids: np.ndarray, cell: n
     """(row, cell, core) of each cell that a row belongs to, by its nearest centroid or by the halo."""
     far = np.sqrt(_squared(x @ project, centroids))
     own = cell[far.argmin(1)]
-    row, c = np.nonzero(far <= far.min(1)[:, None] + 2 * radius + 1e-6)
+    row, c = np.nonzero(far <= far.min(1)[:, None] + 4 * radius + 1e-6)
     pair = np.unique(row * np.int64(cell.max() + 1) + cell[c])
     row, at = pair // (cell.max() + 1), (pair % (cell.max() + 1)).astype(np.int32)
     return row, at, own[row] == at
@@ -374,10 +377,25 @@ def tight(df: DataFrame, key: str, weights: dict[str, float], radius: float, lea
     def by_points(frame):
         import pandas as pd
 
-        x, ids, core = frame[[f"x{i}" for i in range(d)]].to_numpy() * scale, frame["id"].to_numpy(), frame["core"].to_numpy()
-        rows = [(int(ids[at].min()), int(i)) for at in largest(x, ids, radius, least) if core[at[ids[at].argmin()]] for i in ids[at]]
+        x, ids = frame[[f"x{i}" for i in range(d)]].to_numpy() * scale, frame["id"].to_numpy()
+        rows = [(int(ids[at].min()), int(i)) for at in largest(x, ids, radius, least) for i in ids[at]]
         return pd.DataFrame(rows, columns=["cluster_id", "id"]).astype("int64")
 
+    def components(left: DataFrame) -> DataFrame:
+        """The points with the component they have over all cells, by links of grid cells of the radius' width."""
+        side = [f"c{i}" for i in range(d)]
+        at = left.select("*", *[F.floor(F.col(f"x{i}") * float(scale[i]) / radius).alias(c) for i, c in enumerate(side)]).withColumn("g", F.xxhash64(*side))
+        boxes = at.groupBy("g", *side).agg(*[f(F.col(f"x{i}") * float(scale[i])).alias(f"{e}{i}") for i in range(d) for f, e in ((F.min, "l"), (F.max, "h"))])
+        boxes = cut(boxes)
+        near = boxes
+        for c in side:
+            near = near.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
+        a, b = near.alias("a"), boxes.alias("b")
+        gap = [F.greatest(F.lit(0.0), F.col(f"b.l{i}") - F.col(f"a.h{i}"), F.col(f"a.l{i}") - F.col(f"b.h{i}")) for i in range(d)]
+        linked = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in side]).filter(sum((g * g for g in gap[1:]), gap[0] * gap[0]) <= radius * radius * (1 + 1e-9))
+        part = mesh.components(linked.select(F.col("a.g").alias("source"), F.col("b.g").alias("found")))
+        return at.join(part.select(F.col("id").alias("g"), "component"), "g").select("component", "id", *[f"x{i}" for i in range(d)])
+
     salts = 16
     salt = F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt")
 
@@ -390,7 +408,10 @@ def tight(df: DataFrame, key: str, weights: dict[str, float], radius: float, lea
     out = None
     for side in (radius, radius / 4, None):
         if side is None:
-            done = rows.groupBy("cell", "part").applyInPandas(by_points, "cluster_id long, id long")
+            left = rows.filter("core").select("id", *[f"x{i}" for i in range(d)]).dropDuplicates(["id"])
+            # What another cell has proved is a component of its own.
+            left = cut(left if out is None else left.join(out.select(F.col("id").alias("_done")), F.col("id") == F.col("_done"), "left_anti"))
+            done = components(left).groupBy("component").applyInPandas(by_points, "cluster_id long, id long")
             return done if out is None else out.unionAll(done)
         order = ["id", "cell", "core", "g", *[f"x{i}" for i in range(d)], "part"]
         small = rows.select(order).mapInArrow(summarise, summary).groupBy("cell", "part", "g").agg(
