@@ -188,8 +188,7 @@ def oversized(df: DataFrame, keys: Sequence[str], text: str, limit: int = LIMIT,
     def rows(s: str | None):
         if s is not None and len(s) > limit:
             made = cuts(s, limit, overlap)
-            # Any forced cut has a run that doesn't fit; only such texts need their runs measured.
-            yield len(made), int(any(f for _, _, f in made) and longest_run(s) > limit)
+            yield len(made), int(longest_run(s) > limit)
 
     return _run(df.filter(F.char_length(text) > limit), keys, text, "pieces int, forced int", rows)
 

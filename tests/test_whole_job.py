@@ -72,3 +72,11 @@ def test_overlapping_chains_over_cells_are_disjoint(spark):
     want = [(int(ids[at].min()), int(i)) for at in largest(x, ids, 0.02, 5) for i in ids[at]]
     assert len({i for _, i in got}) == len(got)
     assert sorted(got) == sorted(want)
+
+
+def test_run_with_an_ellipsis_character_is_forced(spark):
+    from sixline.llm.split import oversized
+
+    texts = ["a" * 500 + "…" + "b" * 500, "word. " * 200]
+    rows = oversized(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), ["id"], "text").collect()
+    assert {r.id: r.forced for r in rows} == {0: 1, 1: 0}
