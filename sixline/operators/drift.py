@@ -80,9 +80,13 @@ def json_type(t: Column) -> Column:
     )
 
 
+#: JSON's white space.
+SPACE = " \t\r\n"
+
+
 def _whole(records: DataFrame) -> DataFrame:
     """The records that look like one object from end to end: a cheap test before the parser."""
-    return records.filter(F.ltrim("record").startswith("{") & F.rtrim("record").endswith("}"))
+    return records.filter(F.ltrim("record", F.lit(SPACE)).startswith("{") & F.rtrim("record", F.lit(SPACE)).endswith("}"))
 
 
 def paths(records: DataFrame) -> DataFrame:
@@ -159,7 +163,7 @@ def _typed(field: str, raw: Column) -> Column:
 
 def _raw(records: DataFrame) -> DataFrame:
     """file_id, row_no and one text column per field, straight from each record's own map; ``_ok`` is false where it doesn't parse."""
-    whole = F.ltrim("record").startswith("{") & F.rtrim("record").endswith("}")
+    whole = F.ltrim("record", F.lit(SPACE)).startswith("{") & F.rtrim("record", F.lit(SPACE)).endswith("}")
     rows = records.select("file_id", "row_no", F.when(whole, F.try_parse_json("record")).try_cast("map<string,variant>").alias("_m"))
     known = F.transform(F.map_entries("_m"), lambda e: F.struct(meaning(e["key"]).alias("f"), e["value"].cast("string").alias("v")))
     rows = rows.select("file_id", "row_no", F.col("_m").isNotNull().alias("_ok"), F.filter(known, lambda e: e["f"].isNotNull() & e["v"].isNotNull()).alias("_e"))

@@ -80,3 +80,11 @@ def test_run_with_an_ellipsis_character_is_forced(spark):
     texts = ["a" * 500 + "…" + "b" * 500, "word. " * 200]
     rows = oversized(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), ["id"], "text").collect()
     assert {r.id: r.forced for r in rows} == {0: 1, 1: 0}
+
+
+def test_records_in_json_white_space_parse(spark):
+    from sixline.operators import drift
+
+    df = spark.createDataFrame([("f", 1, '{"a": 1}\r'), ("f", 2, '\n\t{"a": 2} \n'), ("f", 3, "x")], "file_id string, row_no long, record string")
+    assert drift._whole(df).count() == 2
+    assert [r._ok for r in drift._raw(df).orderBy("row_no").collect()] == [True, True, False]
