@@ -229,3 +229,45 @@ def test_found_queries_on_small_tables(spark):
     for name, columns in (("p3_found", ["scene_id", "forced"]), ("p4_found", ["cluster_id", "profile_id"]), ("p6_ids", ["doc_id", "ids"]), ("p8_found", ["doc_id"])):
         df = queries.QUERIES[name](spark, d)
         assert df.columns == columns and df.count() > 0
+
+
+def _fitted(spark, at_limit):
+    """Odds of an undecided ending (``line``) at no limit and at one, where ``at_limit`` is the posterior of its lengths."""
+    rows = [("s", "real", "", 0.0, "end", 900), ("s", "real", "", 0.0, "line", 60), ("s", "real", "", 0.0, "prose", 10), ("s", "real", "points 400", at_limit, "line", 1)]
+    rows += [("s", "cut", "", 0.0, "line", 300), ("s", "cut", "", 0.0, "prose", 600), ("s", "cut", "", 0.0, "end", 100), ("s", "whole", "", 0.0, "end", 900), ("s", "whole", "", 0.0, "line", 100)]
+    table = spark.createDataFrame(rows, "source string, variant string, at string, prior double, class string, n long")
+    share = lambda **k: {c: k.get(c, 0.001) for c in cutoff.CLASSES}
+    found = cutoff.posteriors(table, share(line=0.3, prose=0.6, end=0.1), share(end=0.9, line=0.1)).collect()
+    return {(r["at"], r["class"]): r.odds for r in found}
+
+
+def test_only_the_length_posterior_decides(spark):
+    sure, weak = _fitted(spark, 0.98), _fitted(spark, 0.02)
+    assert sure["", "line"] < 0 < sure["points 400", "line"]
+    assert weak["points 400", "line"] < 0
+    assert sure["", "prose"] > 0 and sure["points 400", "end"] < sure["points 400", "line"]
+
+
+def test_long_last_lines_are_judged_by_their_end():
+    line = "a" * 50 + " " + "word " * 2000 + "unfini"
+    how, part = cutoff.ending("One.\n" + line)
+    first, n, _, before, last = cutoff._keys(part)
+    assert (how, n, before, last) == ("line", 2002, "word", "unfini")
+    assert cutoff._keys("x" * 500)[4] != cutoff._keys("x" * 501)[4]
+
+
+def test_labels_end_texts_inside():
+    s = "One line here.\nAnother line there.\n\nThe last line of the text"
+    made = dict(cutoff._labels(s, 12345))
+    assert s.startswith(made["cut"]) and len(made["cut"]) >= len(s) // 2
+    assert made["whole"] in ("One line here.", "One line here.\nAnother line there.")
+    assert list(cutoff._labels("short", 3)) == []
+
+
+def test_neighbours_of_lengths_by_prefix_sums(spark):
+    r = np.random.default_rng(2)
+    n = np.exp(r.normal(6, 0.6, 20_000)).astype(int)
+    counts = {int(k): int(v) for k, v in zip(*np.unique(n, return_counts=True))}
+    counts[512] = counts.get(512, 0) + 400
+    df = spark.createDataFrame([("s", "points", k, v) for k, v in counts.items()], "source string, unit string, length long, n long")
+    assert [r.limit for r in cutoff.limits(df).collect()] == [512]
