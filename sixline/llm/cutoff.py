@@ -395,8 +395,9 @@ def posteriors(table: DataFrame, cut_share: dict[str, float], whole_share: dict[
             r[:, index["blank"]] = 0
             # Dots have their likelihood by their own sentence's habit and tell nothing here.
             m = np.where(np.arange(len(CLASSES)) == index["dots"], 0, n)
-            c_new, w_new = cut0 + (r * m).sum(0), whole0 + ((1 - r) * m * learnt).sum(0)
-            cut_, whole = np.where(fixed, cut_, c_new / c_new.sum()), w_new / w_new.sum()
+            c_new, w_new = cut0 + (r * m).sum(0), (whole0 + ((1 - r) * m).sum(0)) * learnt
+            cut_ = np.where(fixed, cut_, c_new / c_new.sum())
+            whole = np.where(learnt, w_new / w_new.sum() * (1 - (whole * ~learnt).sum()), whole)
             weight = np.where([bool(a) for a in strata], LENGTHS, 20.0)
             q = np.clip(((r * m).sum(1) + weight * q0) / (m.sum(1) + weight), 1e-6, 1 - 1e-6)
         odds = np.log(q / (1 - q))[:, None] + np.log(np.maximum(cut_, 1e-12) / np.maximum(whole, 1e-12))
