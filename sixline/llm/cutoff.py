@@ -99,10 +99,6 @@ def _terminal(line: str) -> bool:
     return line.rstrip(_CLOSING)[-1:] in _MARKS if line else False
 
 
-def _is_whole(line: str) -> bool:
-    return _terminal(line) or _dotted(line)
-
-
 def _opened(line: str) -> bool:
     """Whether a bracket or markup that the line opens is still open at its end."""
     return line.count("(") > line.count(")") or line.count("（") > line.count("）") or line.count("[[") > line.count("]]") or line.count("<math") > line.count("</math") or line.rfind("<") > line.rfind(">") and line[line.rfind("<") + 1 : line.rfind("<") + 2].isalpha()
@@ -124,8 +120,8 @@ def ending(text: str) -> tuple[str, str]:
         return "blank", ""
     line = s[max(s.rfind("\n"), s.rfind("\r")) + 1 :]
     if _dotted(line):
-        body = re.sub("[.…]+$", "", line.rstrip(_CLOSING)).rstrip()
-        return "dots", _begin(_INNER.split(body)[-1])
+        body = _BULLET.sub("", re.sub("[.…]+$", "", line.rstrip(_CLOSING))).rstrip()
+        return "dots", _begin(_INNER.split(body)[-1]) + "\t" + _short(_shape((body.split(None)[-1:] or [""])[0]))
     if _terminal(line):
         if _HALF_NUMBER.search(line):
             return "number", ""
@@ -166,7 +162,9 @@ def line_statistics(rows: DataFrame) -> DataFrame:
                                 one = bare[a:b].strip()
                                 count["dotted" if _dotted(one) else "marked", "", _begin(one), ""] += 1
                         continue
-                    if _is_whole(bare):
+                    dotted = _dotted(bare)
+                    count["dotted" if dotted else "marked", "", _begin(bare), ""] += 1
+                    if dotted or _terminal(bare):
                         continue
                     first, n, signature, before, end = _keys(line)
                     count["first", src, first, str(n)] += 1
@@ -272,7 +270,9 @@ def _endings(rows: DataFrame, texts: int) -> DataFrame:
                 s = s or ""
                 for variant, t in [("real", s), *(_labels(s, pick) if pick >= 0 else ())]:
                     how, part = ending(t)
-                    first, n, signature, before, last = _keys(part) if how in ("line", "title") else (part if how == "dots" else "", 0, "", "", "")
+                    first, n, signature, before, last = _keys(part) if how in ("line", "title") else ("", 0, "", "", "")
+                    if how == "dots":
+                        first, _, last = part.partition("\t")
                     size = (len(t), len(t) if t.isascii() else len(t.encode("utf-8", "surrogatepass"))) if variant == "real" else (0, 0)
                     at.append(i)
                     for column, v in zip(out, (variant, *size, how, first, str(n), signature, before, last)):
@@ -310,7 +310,7 @@ _LOOKUPS = [
     ("signature", None, "signature", None), ("longer_signature", None, "signature", None), ("end", None, "before", "last"), ("longer", None, "before", "last"),
     ("word", None, None, "last"), ("longer_word", None, None, "last"),
 ]
-_DOTS_LOOKUPS = [("dotted", None, "first", None), ("marked", None, "first", None)]
+_DOTS_LOOKUPS = [("dotted", None, "first", None), ("marked", None, "first", None), ("word", None, None, "last"), ("longer_word", None, None, "last")]
 
 
 def _classed(ends: DataFrame, counts: DataFrame, found: DataFrame) -> DataFrame:
@@ -324,14 +324,15 @@ def _classed(ends: DataFrame, counts: DataFrame, found: DataFrame) -> DataFrame:
     open_ = ends.filter(~F.col("how").isin("blank", "end"))
     looked = open_.select(*carried, F.explode_outer(F.when(F.col("how") == "dots", keys(_DOTS_LOOKUPS)).when(F.col("how").isin("line", "title"), keys(_LOOKUPS))).alias("_l"))
     j = looked.select(*carried, "_l.k", "_l.key").join(counts, "key", "left")
-    n = {k: F.coalesce(F.max(F.when(F.col("k") == k, F.col("n"))), F.lit(0)).alias(f"n_{k}") for k, *_ in _LOOKUPS + _DOTS_LOOKUPS}
+    n = {k: F.coalesce(F.max(F.when(F.col("k") == k, F.col("n"))), F.lit(0)).alias(f"n_{k}") for k, *_ in _LOOKUPS + _DOTS_LOOKUPS[:2]}
     # What is the same within a row needs no comparing, and its _row and variant are unique.
     same = [c for c in carried if c not in ("_row", "variant")]
     g = j.groupBy("_row", "variant").agg(*[F.first(c).alias(c) for c in same], *n.values())
     c = lambda k: F.col(f"n_{k}")
     # A made-up name may well begin like a longer one; other words are half if longer ones stand there by far more often.
-    longer = (c("longer") > 3 * (c("end") - 1) + 1) | ((c("word") <= 1) & (c("longer_word") >= 3))
-    half = longer & ~F.col("last").rlike(r"^\p{Lu}")
+    longer = ((F.col("how") != "dots") & (c("longer") > 3 * (c("end") - 1) + 1)) | ((c("longer_word") >= 3) & (c("longer_word") >= 20 * (c("word") - 1)))
+    lower = ~F.col("last").rlike(r"^\p{Lu}")
+    half = longer & lower
     often = (c("first") >= 4) & (c("first") * 12 >= c("all"))
     inside = (c("inside") >= 3) & (c("inside") * 50 >= c("everywhere"))
     signs = (c("signature") >= 4) & (c("signature") * 50 >= c("longer_signature"))
@@ -343,7 +344,7 @@ def _classed(ends: DataFrame, counts: DataFrame, found: DataFrame) -> DataFrame:
     # Dots: how likely a cut leaves them, to how often whole sentences that begin so have them (without the text's own).
     others = F.greatest(c("dotted") - 1, F.lit(0))
     dots = MARKED * (others + c("marked") + 1) / (others + HABIT)
-    out = g.select("_row", "_id", "source", "variant", "points", "bytes", kind.alias("class"), dots.alias("dots"))
+    out = g.select("_row", "_id", "source", "variant", "points", "bytes", kind.alias("class"), dots.alias("dots"), F.when(F.col("last").rlike(r"^\p{Ll}") & (c("word") + c("longer_word") > 0), half).alias("half"))
     return _at_limits(out, found)
 
 
@@ -386,7 +387,7 @@ def posteriors(table: DataFrame, cut_share: dict[str, float], whole_share: dict[
         # Where a cut falls depends on who cuts, so those labels count little; whole line ends count in full.
         cut0 = LABELS_CUT * (label["cut"] + 20 * begin(cut_share)) / (label["cut"].sum() + 20)
         whole0 = label["whole"] + LABELS_ALL * begin(whole_share)
-        fixed = np.array([c in ("blank", "end", "dots") or c.startswith("title") for c in CLASSES])
+        fixed = np.array([c in ("blank", "end", "dots", "line_known") or c.startswith("title") for c in CLASSES])
         # Inner lines can't tell how often texts are titles or end with a habitual line: these the texts themselves tell as well.
         learnt = np.array([c in ("end", "line_known") or c.startswith("title") for c in CLASSES])
         cut_, whole, q = cut0 / cut0.sum(), whole0 / whole0.sum(), q0.copy()
@@ -426,7 +427,10 @@ def _scored(df: DataFrame, key: str, text: str, source: str) -> tuple[DataFrame,
     share = lambda v: {c: (labels.get((v, c), 0) + 0.5) / (sum(n for (u, _), n in labels.items() if u == v) + 0.5 * len(CLASSES)) for c in CLASSES}
     fitted = posteriors(table, share("cut"), share("whole"))
     j = classed.filter("variant = 'real'").join(fitted, ["source", "at", "class"])
-    dots = F.log(F.col("share") / (1 - F.col("share"))) + F.log("dots")
+    # A half word before the dots tells as much as one at a line's end.
+    lines = {v: share(v)["line_half"] / (share(v)["line_half"] + share(v)["line"]) for v in ("cut", "whole")}
+    word = F.when(F.col("half").isNull(), 1.0).when(F.col("half"), lines["cut"] / lines["whole"]).otherwise((1 - lines["cut"]) / (1 - lines["whole"]))
+    dots = F.log(F.col("share") / (1 - F.col("share"))) + F.log("dots") + F.log(word)
     return j.withColumn("odds", F.when(F.col("class") == "dots", dots).otherwise(F.col("odds"))), real
 
 
