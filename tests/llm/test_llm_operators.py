@@ -271,3 +271,26 @@ def test_neighbours_of_lengths_by_prefix_sums(spark):
     counts[512] = counts.get(512, 0) + 400
     df = spark.createDataFrame([("s", "points", k, v) for k, v in counts.items()], "source string, unit string, length long, n long")
     assert [r.limit for r in cutoff.limits(df).collect()] == [512]
+
+
+def test_sizes_by_parts_against_the_libraries():
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    r = random.Random(3)
+    parts = [" ", "  ", "▁", "a", "the", "\n", "\t", "é", "漢", "🙂", "0.5", "\x1c", "　", "​", "<s>", "<|endoftext|>", "\x00", "word's"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(14))) for _ in range(3000)]
+    model = sentencepiece.SentencePieceProcessor(model_file="/opt/tokenizers/piece_bpe_32k.model")
+    assert counter("piece_bpe_32k")(texts) == [len(v) for v in model.encode(texts)]
+    for name in ("word_bpe_49k", "byte_bpe_50k"):
+        own = Tokenizer.from_file(f"/opt/tokenizers/{name}.json")
+        own.encode_special_tokens = True
+        assert counter(name)(texts) == [len(e.ids) for e in own.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_byte_level_json_is_counted_whole(tmp_path):
+    import shutil
+
+    shutil.copy("/opt/tokenizers/byte_bpe_50k.json", tmp_path / "own.json")
+    texts = ["two words", " a  b", "", "\n\n x"]
+    assert counter("own", str(tmp_path))(texts) == counter("byte_bpe_50k")(texts)
