@@ -294,3 +294,51 @@ def test_byte_level_json_is_counted_whole(tmp_path):
     shutil.copy("/opt/tokenizers/byte_bpe_50k.json", tmp_path / "own.json")
     texts = ["two words", " a  b", "", "\n\n x"]
     assert counter("own", str(tmp_path))(texts) == counter("byte_bpe_50k")(texts)
+
+
+def _mixed(seed, n):
+    r = random.Random(seed)
+    parts = ["word ", "end. ", "stop。", "，", "\n", "\n\n", "\r\n", "x" * 130, "0.5", "é́", "， ", " ", "🙂", "Fluß "]
+    return "".join(r.choice(parts) for _ in range(n))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_sections_cover_the_text_with_overlaps_at_seams(seed):
+    s = _mixed(seed, 4000) + "y" * 9000 * (seed % 2) + _mixed(seed + 50, 500)
+    made = split.cuts(s, 100, 20, section=800)
+    assert made[0][0] == 0 and made[-1][1] == len(s)
+    for (_, b, forced), (c, d, _) in itertools.pairwise(made):
+        assert c <= b < d and d - c <= 100
+        assert c < b or s[b - 1].isspace() or forced or not s[b - 1].isalnum() or s[b : b + 130] == "x" * 130
+        assert forced == (not (s[b - 1].isspace() or s[b].isspace() or s[b - 1] in ".,!?。，")) or not forced
+    if seed % 2:
+        assert sum(f for *_, f in made) >= 9000 // 100 - 2
+
+
+def test_long_texts_are_dealt_out(spark):
+    texts = [(1, _mixed(1, 9000)), (2, "z" * 20_000), (2, "z" * 20_000), (3, "short. " * 30), (4, None), (5, _mixed(2, 20) + "q" * 801 + " " + _mixed(3, 3000))]
+    df = spark.createDataFrame(texts, "piece long, t string")
+    got = split.pieces(df, ["piece"], "t", 100, 20, section=800).toDF("k", *[f.split(" ")[0] for f in split._PIECE.split(", ")])
+    rows = sorted((r.k, r.piece_no, r.start, r.end, r.forced, r.piece) for r in got.collect())
+    want = sorted((k, i, a, b, int(f), t[a:b]) for k, t in texts if t and len(t) > 100 for i, (a, b, f) in enumerate(split.cuts(t, 100, 20, 800), 1))
+    assert rows == want
+    found = split.oversized(df, ["piece"], "t", 800, 20, section=800).collect()
+    assert sorted((r[0], r.forced) for r in found) == sorted((k, int(split.longest_run(t) > 800)) for k, t in texts if t and len(t) > 800)
+    assert sorted(r.pieces for r in found) == sorted(len(split.cuts(t, 800, 20, 800)) for k, t in texts if t and len(t) > 800)
+
+
+def test_file_pieces_are_the_same_for_all_range_sizes(spark, tmp_path):
+    raw = (_mixed(7, 60_000) + "n" * 300_000 + _mixed(8, 20_000)).encode() + b"\xff\xfe broken \xe2\x82 end." + _mixed(9, 3000).encode()
+    (tmp_path / "big.txt").write_bytes(raw)
+    (tmp_path / "empty.txt").write_bytes(b"")
+    paths = [str(tmp_path / "big.txt"), f"file://{tmp_path}/empty.txt"]
+    made = [sorted(tuple(r) for r in split.file_pieces(spark, paths, 300, 50, size=size).collect()) for size in (1, 600_000, 64 << 20)]
+    assert made[0] == made[1] == made[2]
+    rows = [r[1:] for r in made[0]]
+    assert [r[0] for r in rows] == list(range(1, len(rows) + 1)) and rows[0][1] == 0 and rows[-1][2] == len(raw)
+    covered = 0
+    for _, start, end, _, piece in rows:
+        assert start <= covered < end and raw[start:end].decode("utf-8", "replace") == piece and len(piece) <= 300
+        covered = end
+    inside = [r for r in rows if set(r[4]) == {"n"}]
+    assert len(inside) >= 300_000 // 300 - 10 and all(r[3] for r in inside[:-1])
