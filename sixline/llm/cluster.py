@@ -193,6 +193,20 @@ def groups(df: DataFrame, key: str, weights: dict[str, float], version: str | No
     return first.join(size, "centroid").select(F.col("centroid").alias("cluster"), "size", "rank", "id", F.round("distance", 6).alias("distance"))
 
 
+def described(found: DataFrame, df: DataFrame, key: str, features: Sequence[str], version: str | None = None, typical: int = 3) -> DataFrame:
+    """cluster_id, size, rank, id, distance: the clusters of (cluster_id, id) by their size and the members nearest to their mean.
+
+    Means are partial sums; the row limit of the ranks is applied before the shuffle, so a cluster with a large part of all records sends few.
+    """
+    names = [f"x{i}" for i in range(len(features))]
+    member = cut(found.join(usable(df, key, features, version), "id"))
+    mean = member.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"), *[F.avg(n).alias(f"m_{n}") for n in names])
+    gap = [F.col(n) - F.col(f"m_{n}") for n in names]
+    far = member.join(mean, "cluster_id").withColumn("distance", F.sqrt(sum((g * g for g in gap[1:]), gap[0] * gap[0])))
+    ranked = far.withColumn("rank", F.row_number().over(Window.partitionBy("cluster_id").orderBy("distance", "id"))).filter(F.col("rank") <= typical)
+    return ranked.select("cluster_id", "size", "rank", "id", F.round("distance", 6).alias("distance"))
+
+
 # --- Tight clusters ----------------------------------------------------------------------------
 
 
@@ -250,38 +264,149 @@ def _links(low: np.ndarray, high: np.ndarray, radius: float, block: int = 512) -
             yield order[a + i], order[b + j]
 
 
+def _linked(x: np.ndarray, radius: float, block: int = 1024) -> np.ndarray:
+    """Component label of each point by links within ``radius``: what is reached leaves the search, so a dense group costs few comparisons."""
+    limit = radius * radius * (1 + 1e-9)
+    label, left, part = np.zeros(len(x), int), np.arange(len(x)), -1
+    while len(left):
+        part += 1
+        front, left = left[:1], left[1:]
+        label[front] = part
+        while len(front) and len(left):
+            near = (_squared(x[front[:block]], x[left]) <= limit).any(0)
+            found = left[near]
+            label[found] = part
+            left, front = left[~near], np.r_[front[block:], found]
+        label[front] = part
+    return label
+
+
+def _degrees(x: np.ndarray, radius: float, block: int = 1024) -> np.ndarray:
+    """How many points, itself included, each point has within ``radius``; in blocks, so no matrix of all pairs is held."""
+    limit = radius * radius * (1 + 1e-9)
+    return np.concatenate([(_squared(x[i : i + block], x) <= limit).sum(1) for i in range(0, len(x), block)]) if len(x) else np.zeros(0, int)
+
+
+def _clique(x: np.ndarray, radius: float) -> np.ndarray:
+    """Points of which every two are within ``radius``: the one with the fewest others in reach leaves until that holds."""
+    limit = radius * radius * (1 + 1e-9)
+    at, degree = np.arange(len(x)), _degrees(x, radius)
+    while len(at) and degree.min() < len(at):
+        out = int(degree.argmin())
+        near = _squared(x[at[out : out + 1]], x[at])[0] <= limit
+        degree = np.delete(degree - near, out)
+        at = np.delete(at, out)
+    return at
+
+
+#: Components up to so many points are searched exactly, with so many steps.
+EXACT, STEPS = 400, 200_000
+
+
+def _most(near: list[int], free: int, steps: list[int], least: int = 0) -> int:
+    """Size of the largest set of pairwise near points among the bits of ``free``, or ``least`` if none is larger: branch and bound by colours."""
+    best = least
+
+    def grow(free: int, size: int) -> None:
+        nonlocal best
+        steps[0] -= 1
+        if steps[0] < 0:
+            raise OverflowError
+        # Points of one colour are not near each other: a set takes one of each at most.
+        order, colours, rest, colour = [], [], free, 0
+        while rest:
+            colour += 1
+            same = rest
+            while same:
+                bit = same & -same
+                v = bit.bit_length() - 1
+                order.append(v)
+                colours.append(colour)
+                rest ^= bit
+                same = (same ^ bit) & ~near[v]
+        for v, colour in zip(reversed(order), reversed(colours)):
+            if size + colour <= best:
+                return
+            below = free & near[v]
+            if below:
+                grow(below, size + 1)
+            elif size + 1 > best:
+                best = size + 1
+            free ^= 1 << v
+
+    grow(free, 0)
+    return best
+
+
+def _exact(x: np.ndarray, radius: float) -> np.ndarray | None:
+    """The largest set of points within ``radius`` of each other, of equal ones the first by index; None where the steps run out."""
+    n = len(x)
+    matrix = _squared(x, x) <= radius * radius * (1 + 1e-9)
+    np.fill_diagonal(matrix, False)
+    near = [int.from_bytes(np.packbits(row, bitorder="little").tobytes(), "little") for row in matrix]
+    steps = [STEPS]
+    try:
+        size = _most(near, (1 << n) - 1, steps)
+        out, free = [], (1 << n) - 1
+        for v in range(n):
+            if len(out) < size and free >> v & 1:
+                below = free & near[v]
+                need = size - len(out) - 1
+                if need == 0 or bin(below).count("1") >= need and _most(near, below, steps, need - 1) >= need:
+                    out.append(v)
+                    free = below
+        return np.array(out)
+    except OverflowError:
+        return None
+
+
 def largest(x: np.ndarray, ids: np.ndarray, radius: float, least: int) -> list[np.ndarray]:
-    """Disjoint sets of at least ``least`` points of which every two are at most ``radius`` apart, largest first; indices into ``ids``."""
-    out = []
-    label = _parts(len(x), _links(x, x, radius))
-    for part in np.unique(label):
-        at = np.nonzero(label == part)[0]
+    """Disjoint sets of at least ``least`` points of which every two are at most ``radius`` apart, largest first; indices into ``ids``.
+
+    Points with fewer than ``least`` in reach are left out first, again and again, and components are
+    taken apart. Components up to ``EXACT`` points are searched exactly (of equal sets that of the
+    smallest ids), larger ones greedily around their points, those with most others in reach first;
+    memory grows with the points, not with their pairs.
+    """
+    limit = radius * radius * (1 + 1e-9)
+    out, work = [], [np.arange(len(x))]
+    while work:
+        at = work.pop()
         at = at[np.argsort(ids[at], kind="stable")]
-        while len(at) >= least:
-            near = _squared(x[at], x[at]) <= radius * radius * (1 + 1e-9)
-            np.fill_diagonal(near, True)
-            if near.all():
-                out.append(at)
+        degree = _degrees(x[at], radius)
+        while len(at) and degree.min() < least:
+            at = at[degree >= least]
+            degree = _degrees(x[at], radius)
+        if len(at) < least:
+            continue
+        label = _linked(x[at], radius)
+        if label.max() > 0:
+            work += [at[label == part] for part in np.unique(label)[::-1]]
+            continue
+        if degree.min() == len(at):
+            out.append(at)
+            continue
+        best = _exact(x[at], radius) if len(at) <= EXACT else None
+        if best is not None:
+            if len(best) >= least:
+                out.append(at[best])
+                work.append(np.delete(at, best))
+            continue
+        best, held = np.zeros(0, int), np.zeros(len(at), bool)
+        for seed in np.argsort(-degree, kind="stable"):
+            if degree[seed] <= len(best):
                 break
-            best: list[int] = []
-            for seed in np.argsort(-near.sum(1), kind="stable"):
-                if near[seed].sum() <= len(best):
-                    break
-                free, made = near[seed].copy(), [int(seed)]
-                free[seed] = False
-                while free.any():
-                    c = np.nonzero(free)[0]
-                    pick = c[near[np.ix_(c, c)].sum(1).argmax()]
-                    made.append(int(pick))
-                    free &= near[pick]
-                    free[pick] = False
-                if len(made) > len(best):
-                    best = made
-            if len(best) < least:
-                break
-            out.append(at[np.sort(best)])
-            at = np.delete(at, best)
-    return out
+            if held[seed]:
+                continue
+            near = np.nonzero(_squared(x[at[seed : seed + 1]], x[at])[0] <= limit)[0]
+            made = near[_clique(x[at[near]], radius)]
+            if len(made) > len(best):
+                best = made
+                held[best] = True
+        if len(best) >= least:
+            out.append(at[best])
+            work.append(np.delete(at, best))
+    return sorted(out, key=lambda s: (-len(s), int(ids[s].min())))
 
 
 def _cells(centroids: np.ndarray, radius: float) -> np.ndarray:

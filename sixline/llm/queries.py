@@ -28,6 +28,12 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return cluster.groups(table(spark, d, "emotional_weights"), "profile_id", AXES, "ingested_at").withColumnRenamed("id", "profile_id")
 
 
+def p4_clusters(spark: SparkSession, d: str) -> DataFrame:
+    weights = table(spark, d, "emotional_weights")
+    found = cluster.tight(weights, "profile_id", AXES, 0.025, 5, "ingested_at")
+    return cluster.described(found, weights, "profile_id", list(AXES), "ingested_at").withColumnRenamed("id", "profile_id")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents"), "doc_id", "text")
 
@@ -48,7 +54,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     return cutoff.rates(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p4_found, p4_groups, p6_ids, p7_mix, p7_shares, p8_found, p8_rates)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p4_found, p4_clusters, p4_groups, p6_ids, p7_mix, p7_shares, p8_found, p8_rates)}
 
 ORACLE = {
     "p3_found": r"""SELECT scene_id, CAST(regexp_matches(scene_text, '[^\s.,;:!?。，；：！？、\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{801}') AS INTEGER) AS forced

@@ -342,3 +342,76 @@ def test_file_pieces_are_the_same_for_all_range_sizes(spark, tmp_path):
         covered = end
     inside = [r for r in rows if set(r[4]) == {"n"}]
     assert len(inside) >= 300_000 // 300 - 10 and all(r[3] for r in inside[:-1])
+
+
+def _reference_cliques(x, ids, radius, least):
+    """The greatest set by trying all, then the greatest of the rest."""
+    import itertools as it
+
+    left, out = list(range(len(x))), []
+    while True:
+        found = None
+        for n in range(len(left), least - 1, -1):
+            fits = [c for c in it.combinations(left, n) if np.sqrt(cluster._squared(x[list(c)], x[list(c)])).max() <= radius]
+            if fits:
+                found = min(fits, key=lambda c: sorted(ids[list(c)]))
+                break
+        if found is None:
+            return out
+        out.append(len(found))
+        left = [i for i in left if i not in found]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_overlapping_sets_against_all_subsets(seed):
+    r = np.random.default_rng(seed)
+    x, ids = r.uniform(0, 0.05, (11, 4)) * [1, 1, 0.3, 0.3], r.permutation(11)
+    got = [len(s) for s in cluster.largest(x, ids, 0.03, 3)]
+    want = _reference_cliques(x, ids, 0.03, 3)
+    assert got == want
+
+
+def test_a_large_group_with_strays_holds_no_matrix():
+    import tracemalloc
+
+    r = np.random.default_rng(1)
+    x = np.concatenate([0.5 + r.uniform(0, 0.006, (12_000, 4)), [[0.5 + 0.024, 0.5, 0.5, 0.5], [0.5 - 0.018, 0.5, 0.5, 0.5]], r.uniform(0.6, 0.9, (500, 4))])
+    tracemalloc.start()
+    made = cluster.largest(x, np.arange(len(x)), 0.025, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(made) == 1 and len(made[0]) >= 12_000 and peak < 12_000**2 * 4
+
+
+def test_clusters_are_described(spark):
+    rows = _points(5, [(20, 0.004), (12, 0.004), (3, 0.001)])
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = cluster.described(cluster.tight(df, "pid", AXES, 0.025, 5, "t", k=3), df, "pid", list(AXES), "t").collect()
+    assert {(r.cluster_id, r.size) for r in got} == {(1, 20), (21, 12)} and len(got) == 6
+    x = np.array([r[1:5] for r in rows[:20]])
+    near = np.sqrt(((x - x.mean(0)) ** 2).sum(1)).argsort()[:3] + 1
+    assert [r.id for r in sorted(got, key=lambda r: r["rank"]) if r.cluster_id == 1] == near.tolist()
+
+
+def test_overlapping_chains_over_cells_are_disjoint(spark):
+    import numpy as np
+
+    from sixline.llm.cluster import largest, tight
+
+    rng, weights = np.random.default_rng(3), {"a": 1.0, "b": 1.0, "c": 1.0, "d": 1.0}
+    # Chains longer than any halo, and a tight group with a stray neighbour.
+    x = np.concatenate([np.column_stack([rng.uniform(0.1, 0.35, 70), np.full(70, y), np.full(70, 0.5), np.full(70, 0.5)]) for y in (0.2, 0.215)] + [np.full((30, 4), 0.05) + rng.uniform(0, 0.005, (30, 4)), [[0.072, 0.05, 0.05, 0.05]]])
+    ids = rng.permutation(len(x))
+    df = spark.createDataFrame([(int(i), *map(float, r)) for i, r in zip(ids, x)], "id long, a double, b double, c double, d double")
+    got = [(r.cluster_id, r.id) for r in tight(df, "id", weights, 0.02, k=6).collect()]
+    want = [(int(ids[at].min()), int(i)) for at in largest(x, ids, 0.02, 5) for i in ids[at]]
+    assert len({i for _, i in got}) == len(got)
+    assert sorted(got) == sorted(want)
+
+
+def test_run_with_an_ellipsis_character_is_forced(spark):
+    from sixline.llm.split import oversized
+
+    texts = ["a" * 500 + "…" + "b" * 500, "word. " * 200]
+    rows = oversized(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), ["id"], "text").collect()
+    assert {r.id: r.forced for r in rows} == {0: 1, 1: 0}
