@@ -58,30 +58,6 @@ def test_missing_ids_of_every_edition_and_category(spark, tmp_path):
     assert got == [(1, 64), (4, 1)] + [(6, i) for i in range(1, 65)]
 
 
-def test_overlapping_chains_over_cells_are_disjoint(spark):
-    import numpy as np
-
-    from sixline.llm.cluster import largest, tight
-
-    rng, weights = np.random.default_rng(3), {"a": 1.0, "b": 1.0, "c": 1.0, "d": 1.0}
-    # Chains longer than any halo, and a tight group with a stray neighbour.
-    x = np.concatenate([np.column_stack([rng.uniform(0.1, 0.35, 70), np.full(70, y), np.full(70, 0.5), np.full(70, 0.5)]) for y in (0.2, 0.215)] + [np.full((30, 4), 0.05) + rng.uniform(0, 0.005, (30, 4)), [[0.072, 0.05, 0.05, 0.05]]])
-    ids = rng.permutation(len(x))
-    df = spark.createDataFrame([(int(i), *map(float, r)) for i, r in zip(ids, x)], "id long, a double, b double, c double, d double")
-    got = [(r.cluster_id, r.id) for r in tight(df, "id", weights, 0.02, k=6).collect()]
-    want = [(int(ids[at].min()), int(i)) for at in largest(x, ids, 0.02, 5) for i in ids[at]]
-    assert len({i for _, i in got}) == len(got)
-    assert sorted(got) == sorted(want)
-
-
-def test_run_with_an_ellipsis_character_is_forced(spark):
-    from sixline.llm.split import oversized
-
-    texts = ["a" * 500 + "…" + "b" * 500, "word. " * 200]
-    rows = oversized(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), ["id"], "text").collect()
-    assert {r.id: r.forced for r in rows} == {0: 1, 1: 0}
-
-
 def test_records_in_json_white_space_parse(spark):
     from sixline.operators import drift
 
