@@ -16,7 +16,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_changes(spark: SparkSession, d: str) -> DataFrame:
-    return drift.changes(table(spark, d, "yao_line_files"), table(spark, d, "yao_line_records"))
+    return drift.changes(table(spark, d, "yao_line_files"), table(spark, d, "yao_line_records"), every=True)
 
 
 def p1_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -89,4 +89,22 @@ def _p5_sql(values: bool) -> str:
     return f"WITH a AS ({a}), b AS ({b}) " + " UNION ALL ".join(parts)
 
 
-ORACLE = {"p5_found": _p5_sql(False), "p5_differences": _p5_sql(True)}
+def _p1_sql() -> str:
+    """Keys of parsing records by DuckDB's own JSON functions; what the keys mean by patterns over the names that the data use."""
+    name = "regexp_replace(lower(k), '[^a-z]', '', 'g')"
+    field = f"""CASE WHEN {name} IN ('direction', 'linedirection', 'dir', 'heading', 'movement', 'trend', 'tendency') THEN 'direction'
+      WHEN {name} LIKE '%stress%' AND {name} NOT LIKE '%note' THEN 'is_stressed' WHEN {name} LIKE '%activ%' AND {name} NOT LIKE '%count' AND {name} NOT LIKE '%note' THEN 'is_activated' END"""
+    kind = "CASE json_type(v) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'DOUBLE' THEN 'decimal' WHEN 'NULL' THEN NULL ELSE 'integer' END"
+    return f"""WITH r AS (SELECT file_id, record, unnest(json_keys(record)) AS k FROM yao_line_records WHERE json_valid(record) AND json_type(record) = 'OBJECT'),
+      v AS (SELECT file_id, k, {field} AS field, json_extract(record, '$."' || k || '"') AS v FROM r),
+      has AS (SELECT file_id, field, k AS name, max({kind}) AS type FROM v WHERE field IS NOT NULL GROUP BY file_id, field, k),
+      every AS (SELECT f.file_id, f.feed, f.released_at, x.field FROM yao_line_files AS f CROSS JOIN (VALUES ('direction'), ('is_stressed'), ('is_activated')) AS x(field)),
+      pair AS (SELECT e.file_id, e.field, h.name, h.type, lag(h.name) OVER w AS was, lag(h.type) OVER w AS was_type, row_number() OVER w AS n
+        FROM every AS e LEFT JOIN has AS h ON h.file_id = e.file_id AND h.field = e.field WINDOW w AS (PARTITION BY e.feed, e.field ORDER BY e.released_at))
+      SELECT file_id, field, 'added' AS change FROM pair WHERE n > 1 AND was IS NULL AND name IS NOT NULL
+      UNION ALL SELECT file_id, field, 'removed' FROM pair WHERE n > 1 AND was IS NOT NULL AND name IS NULL
+      UNION ALL SELECT file_id, field, 'renamed' FROM pair WHERE n > 1 AND was <> name
+      UNION ALL SELECT file_id, field, 'retyped' FROM pair WHERE n > 1 AND was_type <> type"""
+
+
+ORACLE = {"p1_found": _p1_sql(), "p5_found": _p5_sql(False), "p5_differences": _p5_sql(True)}

@@ -52,6 +52,56 @@ def test_lines_and_failures(spark):
     assert {(r.field, r.rows) for r in drift.cast_failures(records).collect()} == {("direction", 1), ("", 1)}
 
 
+def test_drift_own_name_holds_whatever_the_values(spark):
+    long = [{"direction": "strongly rising"}, {"direction": "up"}]
+    assert _changes(spark, {1: [{"direction": "up"}], 2: long}) == set()
+    records = spark.createDataFrame([(2, i, json.dumps(r)) for i, r in enumerate(long)], RECORDS)
+    assert [(r.direction) for r in drift.lines(records).orderBy("row_no").collect()] == [None, "rising"]
+    assert {(r.field, r.rows) for r in drift.cast_failures(records).collect()} == {("direction", 1)}
+
+
+def test_drift_parts_of_names_need_values(spark):
+    assert _changes(spark, {1: [{"is_stressed": True}], 2: [{"is_stressed": True, "stress_source": "wind"}]}) == set()
+
+
+def test_drift_names_that_say_nothing(spark):
+    got = _changes(spark, {1: [{"direction": "up"}], 2: [{"vector": "up"}, {"vector": "down"}, {"batch": 1}], 3: [{"orientation": 1}, {"orientation": -1}, {"flagged": 0}]})
+    assert got == {(2, "direction", "renamed"), (3, "direction", "renamed"), (3, "direction", "retyped")}
+
+
+def test_drift_trailing_content_and_nested_paths(spark):
+    got = _changes(spark, {1: [{"direction": "up"}], 2: ['{"direction": "up"}{"is_stressed": 1}', {"line": {"state": {"direction": "up"}}}]})
+    assert got == {(2, "direction", "renamed")}
+
+
+def test_drift_reports_every_field(spark):
+    rows = [(1, 0, '{"category": "a", "weight": 1}'), (2, 0, '{"category": 3, "extra": {"note": "x"}}')]
+    got = drift.changes(_files(spark, [1, 2]), spark.createDataFrame(rows, RECORDS), every=True).collect()
+    assert {(r.field, r.change) for r in got} == {("category", "retyped"), ("weight", "removed"), ("extra.note", "added")}
+
+
+def test_report_and_lines_take_paths_in_one_order(spark):
+    rows = [(1, 0, '{"dir": "up", "direction": null}'), (1, 1, '{"dir": "down", "direction": "flat"}')]
+    records = spark.createDataFrame(rows, RECORDS)
+    assert [(r.field, r.name) for r in drift.file_fields(records).collect()] == [("direction", "direction")]
+    got = drift.lines(records).orderBy("row_no").collect()
+    assert [r.direction for r in got] == ["rising", "stable"] and got[0].others == {}
+
+
+def test_json_of_any_depth():
+    from sixline.operators.jsontext import Reader
+
+    r = Reader()
+    for text in ['{"a": [1, {"b": null}, []], "c": {"d": "x\\u00e9", "e": -1.5e3}}', " [true, false, {}] ", "3", '"s"']:
+        assert r._looped(text) == json.loads(text) and r.read(text) == (True, json.loads(text))
+    for text in ["", "{", "[1,]", '{"a" 1}', "[1] 2", "{'a': 1}", "NaN", "01", '{"a": 1,}', "tru"]:
+        assert r.read(text) == (False, None)
+        with pytest.raises((ValueError, IndexError)):
+            r._looped(text)
+    deep = "[" * 200_000 + "]" * 200_000
+    assert r.read(deep)[0] and not r.read(deep[:-1])[0]
+
+
 CAPTURES, SNAPSHOTS = "capture_id long, payload string", "snapshot_id long, payload string"
 
 
