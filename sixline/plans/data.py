@@ -55,6 +55,27 @@ def p2_patterns(spark: SparkSession, d: str) -> DataFrame:
     return dewey.patterns(table(spark, d, "domain_registry")).withColumns({c: _text(c) for c in ("label", "parent_label")}).distinct()
 
 
+def _documents(spark: SparkSession, d: str, of) -> DataFrame:
+    """A result of both document kinds, with the table's name and the document's id before it."""
+    kinds = [("capture_detailed", "capture_id"), ("domain_registry", "snapshot_id")]
+    made = [of(table(spark, d, t), [k], "payload").select(F.lit(t).alias("tbl"), F.col(k).alias("doc_id"), "*").drop(k) for t, k in kinds]
+    return made[0].unionAll(made[1])
+
+
+def p2_tables(spark: SparkSession, d: str) -> DataFrame:
+    rows = _documents(spark, d, dewey.tables).withColumns({c: _text(c) for c in ("label", "parent_label")})
+    return rows.withColumn("fields", F.to_json("fields"))
+
+
+def p2_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The tables that the documents hold: how many rows and documents each schema path has, and under which parent."""
+    return _documents(spark, d, dewey.tables).groupBy("tbl", "path", "parent_path").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("documents"))
+
+
+def p2_rejects(spark: SparkSession, d: str) -> DataFrame:
+    return _documents(spark, d, dewey.rejects)
+
+
 def _both(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     keep = ["edition_id", "hexagram_id", *REGISTRY, "updated_at"]
     a, b = table(spark, d, "hexagram_registry").select(keep), table(spark, d, "hexagram_registry_copy").select(keep)
@@ -69,7 +90,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_differences(spark, d).select("edition_id", "hexagram_id", "field", "kind")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_changes, p1_lines, p1_cast_failures, p2_found, p2_levels, p2_ranked, p2_scores, p2_domains, p2_patterns, p5_found, p5_differences)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_changes, p1_lines, p1_cast_failures, p2_found, p2_levels, p2_ranked, p2_scores, p2_domains, p2_patterns, p2_tables, p2_paths, p2_rejects, p5_found, p5_differences)}
 
 
 def _p5_sql(values: bool) -> str:

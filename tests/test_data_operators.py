@@ -135,9 +135,34 @@ def test_documents_that_do_not_parse(spark):
 
 def test_dewey_labels_link_to_parents():
     made = list(dewey.nodes('{"a": [{"b": 1}, {"b": 2}]}'))
-    labels = {n[0] for n in made}
+    labels = {tuple(n[0]) for n in made}
     assert all(not label or label[:-1] in labels for label in labels) and len(labels) == len(made)
-    assert [n[5] for n in made if n[2] == ".a[].b"] == ["1", "2"]
+    assert [n[6] for n in made if n[3] == ".a[].b"] == ["1", "2"]
+    assert all(n[1] == n[0][:-1] for n in made)
+
+
+def test_parents_are_the_nearest_records():
+    text = '{"a": {"10": {"x": {"deep": [[7]]}}, "20": {"x": {"deep": [[8, 9]]}}}}'
+    made = list(dewey.nodes(text, keep=lambda p: p.endswith("[][]"), record=lambda p: p.startswith(".a.") and p.count(".") == 2))
+    assert [(n[0], n[1], n[2], n[6]) for n in made] == [([0, 0, 0, 0, 0, 0], [0, 0], "10", "7"), ([0, 1, 0, 0, 0, 0], [0, 1], "20", "8"), ([0, 1, 0, 0, 0, 1], [0, 1], "20", "9")]
+
+
+def test_documents_of_any_depth(spark):
+    n = 50_000
+    deep = '{"x":' * n + '{"10": {"captures": [{"label": "input=30", "top12": [5]}]}}' + "}" * n
+    assert _elements(spark, [(1, deep)]) == {(1, "30", "top12", -1, 0, "5")}
+
+
+def test_tables_of_every_path(spark):
+    doc = {"domains": {"core": {"root": "r", "input_patterns": ["a", None]}, "other": {"root": "s", "rules": [{"n": 1}, {"n": 2.50}]}}}
+    df = spark.createDataFrame([(1, json.dumps(doc)), (2, "{"), (3, None), (4, " "), (5, "null")], SNAPSHOTS)
+    rows = dewey.tables(df, ["snapshot_id"], "payload").collect()
+    got = {(r.path, tuple(r.label), r.parent_path, r.key, r.pos): (None if r.parent_label is None else tuple(r.parent_label), r.fields) for r in rows}
+    assert got[".domains{}", (0, 1), ".domains", "other", 1] == ((0,), {"root": "s"})
+    assert got[".domains{}.rules[]", (0, 1, 1, 1), ".domains{}", None, 1] == ((0, 1), {"n": "2.5"})
+    assert got[".domains{}.input_patterns[]", (0, 0, 1, 1), ".domains{}", None, 1] == ((0, 0), {"value": None})
+    assert all(tuple(r.parent_label) == tuple(r.label)[: len(r.parent_label)] for r in rows if r.parent_label is not None)
+    assert {(r.snapshot_id, r.reason) for r in dewey.rejects(df, ["snapshot_id"], "payload").collect()} == {(2, "broken"), (3, "null"), (4, "empty"), (5, "nothing")}
 
 
 KEYS, SIDE = ["k"], "k int, v string, w string, t timestamp"
