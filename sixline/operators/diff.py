@@ -28,9 +28,10 @@ _FIELD, _KIND = "field", "kind"
 
 
 def digits(column: Column | str) -> Column:
-    """The number that a text's ASCII digits make, null without digits or beyond 32 bits."""
-    c = F.col(column) if isinstance(column, str) else column
-    return F.regexp_replace(c.cast("string"), "[^0-9]", "").try_cast("int")
+    """The number that a text's ASCII digits make, whatever stands around them, less a fraction of zeros; null without digits, with several numbers or beyond 32 bits."""
+    c = F.trim((F.col(column) if isinstance(column, str) else column).cast("string"))
+    one = F.regexp_extract(c, r"^[^0-9]*([0-9]+)(?:\.0*)?[^0-9]*$", 1)
+    return one.try_cast("int")
 
 
 def latest(df: DataFrame, keys: Sequence[str], fields: Sequence[str], version: str) -> DataFrame:

@@ -13,16 +13,31 @@ def plain(name):
     return F.regexp_replace(F.lower(F.trim(name)), "[^a-z0-9]+", "_")
 
 
+def stem(name):
+    """The last part of a path without its suffix."""
+    return F.regexp_replace(F.regexp_replace(name, "^.*/", ""), r"\.[A-Za-z0-9]+$", "")
+
+
 def resolved(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges (source, target) with node id ``found`` and the ``rule`` that found it: exact name, then plain name; null where none does.
+    """Edges (source, target) with node id ``found`` and the ``rule`` that found it: exact name, plain name, then stem; null where none does.
 
-    Nodes are (id, name). Each rule is an equi-join; a name of several nodes means the smallest id.
+    Nodes are (id, name). Each rule is an equi-join with one row per name; a name of several nodes means the smallest id.
     """
-    exact = nodes.groupBy(F.col("name").alias("target")).agg(F.min("id").alias("_exact"))
-    loose = nodes.groupBy(plain(F.col("name")).alias("_plain")).agg(F.min("id").alias("_loose"))
-    e = edges.withColumn("_plain", plain(F.col("target"))).join(exact, "target", "left").join(loose, "_plain", "left")
-    rule = F.when(F.col("_exact").isNotNull(), "exact").when(F.col("_loose").isNotNull(), "plain")
-    return e.select("source", "target", F.coalesce("_exact", "_loose").alias("found"), rule.alias("rule"))
+    rules = {"exact": lambda c: c, "plain": plain, "stem": lambda c: plain(stem(c))}
+    e = edges.select("source", "target", *[rule(F.col("target")).alias(f"_{k}_name") for k, rule in rules.items()])
+    for k, rule in rules.items():
+        known = nodes.groupBy(rule(F.col("name")).alias(f"_{k}_name")).agg(F.min("id").alias(f"_{k}"))
+        e = e.join(known, f"_{k}_name", "left")
+    first = None
+    for k in rules:
+        first = F.when(F.col(f"_{k}").isNotNull(), k) if first is None else first.when(F.col(f"_{k}").isNotNull(), k)
+    return e.select("source", "target", F.coalesce(*[f"_{k}" for k in rules]).alias("found"), first.alias("rule"))
+
+
+def degrees(edges: DataFrame) -> DataFrame:
+    """id, degree: different neighbours of each node that resolved edges touch, in either direction."""
+    e = edges.filter("found IS NOT NULL").select(F.col("source").alias("id"), F.col("found").alias("other"))
+    return e.unionAll(e.select(F.col("other").alias("id"), F.col("id").alias("other"))).distinct().groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
 
 
 def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -36,6 +51,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
     Each round moves labels over links and then replaces a label by its own label, so the number of
     rounds grows with the logarithm of the longest path; the state is cut to shared storage each round.
+    Labels that still change when the rounds run out are an error.
     """
     links = edges.filter("source IS NOT NULL AND found IS NOT NULL").select("source", "found")
     both = cut(links.unionAll(links.select(F.col("found").alias("source"), F.col("source").alias("found"))).distinct())
@@ -47,5 +63,5 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         after = cut(moved.join(up, "component", "left").select("id", "_was", F.least("component", F.coalesce("_up", "component")).alias("component")))
         label = after.select("id", "component")
         if after.filter("component <> _was").isEmpty():
-            break
-    return label
+            return label
+    raise RuntimeError(f"labels still change after {rounds} rounds; allow more")

@@ -79,11 +79,13 @@ def p2_rejects(spark: SparkSession, d: str) -> DataFrame:
 def _both(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     keep = ["edition_id", "hexagram_id", *REGISTRY, "updated_at"]
     a, b = table(spark, d, "hexagram_registry").select(keep), table(spark, d, "hexagram_registry_copy").select(keep)
-    return a.withColumn("hexagram_id", F.col("hexagram_id").cast("int")), b.withColumn("hexagram_id", diff.digits("hexagram_id"))
+    # An id that is no number keeps its text as a key of its own: such rows stay apart.
+    number = diff.digits("hexagram_id")
+    return a.select(F.lit(None).cast("string").alias("_text"), "*").withColumn("hexagram_id", F.col("hexagram_id").cast("int")), b.select(F.when(number.isNull(), F.col("hexagram_id")).alias("_text"), "*").withColumn("hexagram_id", number)
 
 
 def p5_differences(spark: SparkSession, d: str) -> DataFrame:
-    return diff.differences(*_both(spark, d), ["edition_id", "hexagram_id"], REGISTRY, "updated_at")
+    return diff.differences(*_both(spark, d), ["edition_id", "hexagram_id", "_text"], REGISTRY, "updated_at").drop("_text")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sixline.plans.dialect import SPARK, Dialect, even, shared
+from sixline.plans.dialect import DUCK, SPARK, Dialect, even, shared
 from sixline.plans.symbols import BASE, balance, space
 from sixline.session import cut, table
 from sixline.tables import AXES, INTENTS, PHASES, intents_sql, phases_sql, state_rows, states_sql, trigrams_sql
@@ -49,16 +49,28 @@ def weights() -> str:
     return f"(SELECT hexagram_id AS id, {', '.join(f'{r4(f'avg({v})')} AS w_{a}' for a, v in _COLUMNS.items())} FROM (SELECT DISTINCT profile_id, hexagram_id, {', '.join(_COLUMNS.values())} FROM emotional_weights WHERE {valid}) AS v GROUP BY hexagram_id)"
 
 
+#: The unit of the intent scores, in which all of them (1 / rank) are whole.
+_UNIT = math.lcm(*range(1, 1 + max(len(words.split()) for words in INTENTS.values())))
+_KNOWN = "array(" + ", ".join(f"'{w}'" for words in INTENTS.values() for w in words.split() if "_" not in w) + ")"
+
+
 def intents(x: Dialect) -> str:
-    """TX-04 over every document: intent scores by words, dominant intent, intensity, number of words."""
-    string = "STRING" if x.spark else "VARCHAR"
-    count = f"{x.size(x.tokens('lower(text)', '[a-z0-9]+'))}"
+    """TX-04 over every document: intent scores by words, dominant intent, intensity, number of words.
+
+    In Spark one projection: of a text's words only those of the intents are looked up in, and nothing
+    is joined or moved. In DuckDB by joins with the table of words.
+    """
+    count = x.size(x.tokens("lower(text)", "[a-z0-9]+"))
     spaced = x.size(x.tokens("text", WORD))
+    if x.spark:
+        score = lambda words: "round((" + " + ".join(f"CASE WHEN array_contains(known, '{w}') THEN {_UNIT // r} ELSE 0 END" for r, w in enumerate(words.split(), 1) if "_" not in w) + f") / CAST({_UNIT} AS DOUBLE), 9)"
+        known = f"(SELECT doc_id, {count} AS words, {spaced} AS spaced, array_intersect({x.tokens('lower(text)', '[a-z0-9]+')}, {_KNOWN}) AS known FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) AS d0)"
+        return f"(SELECT doc_id, words, spaced, {', '.join(f'{score(w)} AS k_{k}' for k, w in INTENTS.items())} FROM {known} AS d1)"
     return f"""(SELECT d.doc_id, w.words, w.spaced, {', '.join(f"coalesce(s.k_{k}, CAST(0 AS DOUBLE)) AS k_{k}" for k in INTENTS)} FROM (SELECT doc_id FROM documents) AS d
       JOIN (SELECT doc_id, coalesce({count}, 0) AS words, coalesce({spaced}, 0) AS spaced FROM documents) AS w ON w.doc_id = d.doc_id
       LEFT JOIN (SELECT doc_id, {', '.join(f"coalesce(round(sum(CASE WHEN intent = '{k}' THEN score END), 9), CAST(0 AS DOUBLE)) AS k_{k}" for k in INTENTS)}
         FROM (SELECT DISTINCT doc_id, word FROM (SELECT doc_id, {x.explode(x.tokens('lower(text)', '[a-z0-9]+'))} AS word FROM documents WHERE text IS NOT NULL) AS e) AS t
-        JOIN {intents_sql()} AS i ON CAST(i.word AS {string}) = t.word GROUP BY doc_id) AS s ON s.doc_id = d.doc_id)"""
+        JOIN {intents_sql()} AS i ON CAST(i.word AS VARCHAR) = t.word GROUP BY doc_id) AS s ON s.doc_id = d.doc_id)"""
 
 
 _TOTAL = "(" + " + ".join(f"k_{k}" for k in INTENTS) + ")"
@@ -96,9 +108,8 @@ def _pool(x: Dialect) -> str:
 #: The intents that a state's category and its action answer to (TX-06).
 _CATEGORY_INTENTS = {"sovereign": "create speak protect focus", "transformer": "transform heal grow release", "dissipator": "destroy conflict release explore", "boundary": "understand focus protect connect"}
 _ACTION_INTENTS = {"ASSERT": "create speak protect focus", "YIELD": "release heal connect listen", "ADAPT": "transform explore grow understand", "WAIT": "understand focus listen release"}
-#: Category and action of each state; the unit of the intent scores, in which all of them (1 / rank) are whole.
+#: Category and action of each state.
 _KINDS = sorted({(category, action) for _, _, category, action, _ in state_rows()})
-_UNIT = math.lcm(*range(1, 1 + max(len(words.split()) for words in INTENTS.values())))
 
 
 def asked(x: Dialect) -> str:
@@ -113,7 +124,7 @@ def asked(x: Dialect) -> str:
     match = ", ".join(f"CASE WHEN {_TOTAL} > 0 THEN CASE WHEN {s} > 0 THEN least({2 * _UNIT}, {s}) ELSE {2 * _UNIT * 3 // 10} END ELSE {_UNIT} END AS u_{i}" for i, s in enumerate(either))
     words = f"(SELECT doc_id, CAST(least(50, {x.size(x.tokens('text', WORD))}) AS INT) AS spaced, {x.tokens('lower(text)', '[a-z0-9]+')} AS tokens FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) AS d0)"
     # Only the intents' words are looked up in, a few of a text's.
-    known = "(SELECT doc_id, spaced, array_intersect(tokens, array(" + ", ".join(f"'{w}'" for words_ in INTENTS.values() for w in words_.split() if "_" not in w) + f")) AS tokens FROM {words} AS d1)"
+    known = f"(SELECT doc_id, spaced, array_intersect(tokens, {_KNOWN}) AS tokens FROM {words} AS d1)"
     units = f"(SELECT doc_id, spaced, {match} FROM (SELECT doc_id, spaced, {scores} FROM {known} AS d2) AS d4)"
     ids = " || '.' || ".join(f"CAST({c_} AS {string})" for c_ in ("spaced", *(f"u_{i}" for i in range(len(_KINDS)))))
     return f"(SELECT doc_id, {ids} AS q_id, spaced / CAST(50 AS DOUBLE) AS intensity, {', '.join(f'u_{i} / CAST({2 * _UNIT} AS DOUBLE) AS m_{i}' for i in range(len(_KINDS)))} FROM {units} AS d3)"
@@ -169,11 +180,6 @@ def _resolve_512(x: Dialect) -> str:
     return f"SELECT id, phase, porosity, {', '.join(f'round({a}, 6) AS {a}' for a in AXES)} FROM {expanded(x)} AS e"
 
 
-def _questions(x: Dialect) -> str:
-    """Distinct intensities of all documents: equal ones are expanded once."""
-    return f"(SELECT DISTINCT CAST(spaced AS INT) AS q_id, spaced / CAST(50 AS DOUBLE) AS intensity FROM (SELECT least(50, spaced) AS spaced FROM (SELECT coalesce({x.size(x.tokens('text', WORD))}, 0) AS spaced FROM documents) AS d0) AS d1)"
-
-
 def _tau(slider: str) -> str:
     return f"0.15 * ({' + '.join(AXES)}) + 0.1 * pn + 0.05 * ((abs(yin - yang) + abs(yang - yao) + abs(yao - yin)) / CAST(6 AS DOUBLE)) + (1 + {slider} * var_h) + 0.15 * w_voice + 0.55 * (0.5 + 2.5 * {slider})"
 
@@ -189,13 +195,13 @@ def _context(slider: str) -> tuple[str, str]:
 _SCORE = "(0.4 * ctx + 0.15 * (CASE WHEN pn = 0 THEN 0.35 ELSE pn END) + 0.1 * align + 0.05 * pref)"
 
 
-def consensus(x: Dialect, questions: str, slider: str) -> str:
+def consensus(x: Dialect, questions: str, slider: str, states: str | None = None) -> str:
     """F-5 with each state scored once: tau, its mode as mu, gaussian weights, the winner by summed score.
 
     The vector is the weighted mean (``once``); its repeated blend toward a constant default, n times
     over n rows, has that constant as its limit and adds no information, so it is left to a parameter.
     """
-    e = f"(SELECT e.*, w.w_voice FROM {expanded(x, questions=questions)} AS e JOIN {weights()} AS w ON w.id = e.id)"
+    e = f"(SELECT e.*, w.w_voice FROM {states or expanded(x, questions=questions)} AS e JOIN {weights()} AS w ON w.id = e.id)"
     spread = f"""(SELECT q_id, id, ({' + '.join(f'power(avg({a}) - ({" + ".join(f"avg({b})" for b in AXES)}) / 5, 2)' for a in AXES)}) / 5 AS var_h FROM {e} AS e1 GROUP BY q_id, id)"""
     tau = _tau(slider)
     t = f"(SELECT e.*, {tau} AS tau, floor(({tau}) * 100 + 0.5 + 1e-7) AS tau2 FROM {e} AS e JOIN {spread} AS v ON v.q_id = e.q_id AND v.id = e.id)"
@@ -239,10 +245,55 @@ def doc_consensus(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql(even(f"SELECT d.doc_id, r.winner, h.category, h.action, r.score, r.mu, {', '.join(f'r.{a}' for a in AXES)} FROM asked_documents AS d JOIN {found} AS r ON r.q_id = d.q_id JOIN {H} AS h ON h.id = r.winner"))
 
 
-def _doc_consensus(x: Dialect) -> str:
-    """The registered SQL, which takes every document's intent match as 0.5: equal to :func:`doc_consensus` only where no intent matched."""
-    spaced = f"CAST(least(50, coalesce({x.size(x.tokens('text', WORD))}, 0)) AS INT)"
-    return f"SELECT d.doc_id, r.winner, h.category, h.action, r.score, r.mu, {', '.join(f'r.{a}' for a in AXES)} FROM (SELECT doc_id, {spaced} AS q_id FROM documents) AS d JOIN {consensus(x, _questions(x), '0.5')} AS r ON r.q_id = d.q_id JOIN {H} AS h ON h.id = r.winner"
+def _asked_sql() -> str:
+    """The questions of all documents in DuckDB, from the joined intent scores: q_id, intensity and m_i, apart from :func:`asked`."""
+    total = "(" + " + ".join(f"k_{k}" for k in INTENTS) + ")"
+    half = lambda category, action: "(" + " + ".join(f"k_{k}" for k in (_CATEGORY_INTENTS[category] + " " + _ACTION_INTENTS[action]).split()) + ") / 2"
+    match = ", ".join(f"CASE WHEN {total} = 0 THEN 0.5 WHEN {half(*kind)} = 0 THEN 0.3 ELSE least(1.0, {half(*kind)}) END AS m_{i}" for i, kind in enumerate(_KINDS))
+    units = " || '.' || ".join(f"CAST(CAST(round(m_{i} * {2 * _UNIT}) AS BIGINT) AS VARCHAR)" for i in range(len(_KINDS)))
+    return f"SELECT doc_id, CAST(spaced AS VARCHAR) || '.' || {units} AS q_id, spaced / CAST(50 AS DOUBLE) AS intensity, {', '.join(f'm_{i}' for i in range(len(_KINDS)))} FROM (SELECT doc_id, least(50, spaced) AS spaced, {match} FROM {even(intents(DUCK))} AS i) AS m"
+
+
+def _with_questions(sql: str) -> str:
+    ms = ", ".join(f"max(m_{i}) AS m_{i}" for i in range(len(_KINDS)))
+    return f"WITH asked AS MATERIALIZED ({_asked_sql()}), q AS MATERIALIZED (SELECT q_id, max(intensity) AS intensity, {ms} FROM asked GROUP BY q_id), st AS MATERIALIZED ({even(_answer_states())}) {even(sql)}"
+
+
+def _answer_states() -> str:
+    step = f"(SELECT s.*, {', '.join(f'q.m_{i} AS mm_{i}' for i in range(len(_KINDS)))} FROM {stepped(DUCK, questions='q')} AS s JOIN q ON q.q_id = s.q_id)"
+    match = "CASE " + " ".join(f"WHEN category = '{category}' AND action = '{action}' THEN mm_{i}" for i, (category, action) in enumerate(_KINDS)) + " END"
+    return f"SELECT * FROM {resolved(step, match)} AS r"
+
+
+def _consensus_sql() -> str:
+    return _with_questions(f"SELECT d.doc_id, r.winner, h.category, h.action, r.score, r.mu, {', '.join(f'r.{a}' for a in AXES)} FROM asked AS d JOIN {consensus(DUCK, 'q', '0.5', 'st')} AS r ON r.q_id = d.q_id JOIN {H} AS h ON h.id = r.winner")
+
+
+def _question_states(spark: SparkSession, d: str) -> DataFrame:
+    """The 512 resolved states of every distinct question of the documents."""
+    table(spark, d, "documents").createOrReplaceTempView("documents")
+    asked_ = spark.sql(f"SELECT * FROM {asked(SPARK)} AS a")
+    each = asked_.groupBy("q_id").agg(*[F.max(k).alias(k) for k in asked_.columns if k not in ("doc_id", "q_id")]).withColumn("spaced", F.round(F.col("intensity") * 50).cast("int"))
+    # Fixed sizes: 51 lengths, each with 512 states.
+    lengths = spark.range(51).select(F.col("id").cast("int").alias("q_id"), (F.col("id") / 50).alias("intensity"))
+    lengths.createOrReplaceTempView("all_lengths")
+    fixed = spark.sql(even(f"SELECT * FROM {stepped(SPARK, questions='all_lengths')} AS s")).withColumnRenamed("q_id", "spaced")
+    each.join(F.broadcast(fixed), "spaced").createOrReplaceTempView("question_states")
+    return spark.sql(even(f"SELECT * FROM {resolved('question_states', _MATCH)} AS r"))
+
+
+def doc_expand_64(spark: SparkSession, d: str) -> DataFrame:
+    """F-2..F-4 in phase 0 for every distinct question of the documents."""
+    return _question_states(spark, d).filter("phase = 0").select("q_id", "id", "porosity", *[_r6(f"e_{a}").alias(a) for a in AXES])
+
+
+def doc_resolve_512(spark: SparkSession, d: str) -> DataFrame:
+    """F-2..F-4 for every distinct question of the documents."""
+    return _question_states(spark, d).select("q_id", "id", "phase", "porosity", *[_r6(a).alias(a) for a in AXES])
+
+
+def _r6(c_: str):
+    return F.expr(even(f"round({c_}, 6)"))
 
 
 def _sliders(x: Dialect) -> str:
@@ -399,7 +450,6 @@ _SQL = {
     "doc_seed_vectors": (_seed, _D),
     "expand_64": (_expand_64, ()),
     "resolve_512": (_resolve_512, ()),
-    "doc_consensus": (_doc_consensus, ("documents", "emotional_weights")),
     "open_pool_consensus": (_open_pool, _E),
     "decision_matrix": (_decision, _E),
     "debug_hex_scores_top12": (_debug_scores, _E),
@@ -417,5 +467,9 @@ _SQL = {
     "dominant_axis": (_dominant_axis, _E),
 }
 _BUILT = {name: shared(text, tables) for name, (text, tables) in _SQL.items()}
-QUERIES = {name: run for name, (run, _) in _BUILT.items()} | {"doc_consensus": doc_consensus}
-ORACLE = {name: sql for name, (_, sql) in _BUILT.items()}
+QUERIES = {name: run for name, (run, _) in _BUILT.items()} | {f.__name__: f for f in (doc_consensus, doc_expand_64, doc_resolve_512)}
+ORACLE = {name: sql for name, (_, sql) in _BUILT.items()} | {
+    "doc_consensus": _consensus_sql(),
+    "doc_expand_64": _with_questions(f"SELECT q_id, id, porosity, {', '.join(f'round(e_{a}, 6) AS {a}' for a in AXES)} FROM st WHERE phase = 0"),
+    "doc_resolve_512": _with_questions(f"SELECT q_id, id, phase, porosity, {', '.join(f'round({a}, 6) AS {a}' for a in AXES)} FROM st"),
+}

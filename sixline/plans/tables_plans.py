@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sixline.operators import mesh, nearest, sessions, text
 from sixline.plans.dialect import DUCK, Dialect, even, shared
 from sixline.session import table
-from sixline.tables import states, states_sql
+from sixline.tables import state_rows, states_sql
 
 
 def event_intent_states(spark: SparkSession, d: str) -> DataFrame:
@@ -49,11 +49,14 @@ def domain_keywords(spark: SparkSession, d: str) -> DataFrame:
     return text.domains(table(spark, d, "documents"))
 
 
-def _mesh(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Customers as nodes; an edge for the name that an order's customer number, less a half, stands for."""
+def _mesh(spark: SparkSession, d: str, kind: str = "true") -> tuple[DataFrame, DataFrame]:
+    """Customers as nodes; an edge from every order's customer to the one that its clerk's number names, in four ways of writing."""
     nodes = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    target = F.concat(F.lit("customer "), F.lpad((F.col("o_custkey") / 2).cast("long").cast("string"), 9, "0"))
-    edges = table(spark, d, "orders").select(F.col("o_custkey").alias("source"), target.alias("target")).distinct()
+    number = F.regexp_extract("o_orderkey", "([0-9]+)$", 1).cast("long") % 1999
+    way = F.col("o_orderkey") % 4
+    padded = F.lpad(number.cast("string"), 9, "0")
+    target = F.when(way == 0, F.concat(F.lit("Customer#"), padded)).when(way == 1, F.concat(F.lit(" customer "), padded)).when(way == 2, F.concat(F.lit("notes/customers/Customer#"), padded, F.lit(".md"))).otherwise(F.concat(F.lit("client "), padded))
+    edges = table(spark, d, "orders").filter(kind).select(F.col("o_custkey").alias("source"), target.alias("target")).distinct()
     return nodes, edges
 
 
@@ -62,14 +65,38 @@ def edge_resolution(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mesh_orphans(spark: SparkSession, d: str) -> DataFrame:
-    nodes, edges = _mesh(spark, d)
+    """JN-17: customers that no urgent order leads from or to."""
+    nodes, edges = _mesh(spark, d, "o_orderpriority = '1-URGENT'")
     return mesh.orphans(nodes, mesh.resolved(nodes, edges)).select("id", "name")
 
 
+def edge_missing(spark: SparkSession, d: str) -> DataFrame:
+    """JN-16: targets that no node has, with the number of edges to them."""
+    nodes, edges = _mesh(spark, d)
+    return mesh.resolved(nodes, edges).filter("found IS NULL").groupBy("target").agg(F.count(F.lit(1)).alias("edges"))
+
+
+def mesh_degrees(spark: SparkSession, d: str) -> DataFrame:
+    """AG-28: number of different neighbours of each node, in either direction."""
+    nodes, edges = _mesh(spark, d)
+    return mesh.degrees(mesh.resolved(nodes, edges))
+
+
+def doc_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return text.paragraphs(table(spark, d, "documents"))
+
+
+def scene_sentence_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """TX-03: scenes as chunks of whole sentences."""
+    scenes = table(spark, d, "jkd_ingestion_ternary").filter("scene_text IS NOT NULL")
+    return scenes.select("scene_id", F.posexplode(text.sentence_chunks(F.col("scene_text"))).alias("place", "chunk"))
+
+
 def mesh_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Connected orders: each order line's part and supplier linked."""
-    lines = table(spark, d, "lineitem").select((F.col("l_partkey") * 2).alias("source"), (F.col("l_suppkey") * 2 + 1).alias("found")).distinct()
-    return mesh.components(lines).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    """SO-08: groups of linked customers and orders, the ten largest, of equal ones the first."""
+    links = table(spark, d, "orders").select((F.col("o_custkey") * 2).alias("source"), (F.col("o_orderkey") * 2 + 1).alias("found")).distinct()
+    sizes = mesh.components(links).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    return sizes.orderBy(F.desc("size"), "component").limit(10)
 
 
 # --- SQL of both engines -----------------------------------------------------------------------
@@ -104,8 +131,8 @@ def _long_lines(x: Dialect) -> str:
 
 
 def _derive(x: Dialect) -> str:
-    """MX-30, F-13: the emotional input that a record's fields raise."""
-    return "SELECT l_orderkey, l_linenumber, round(greatest(0.5, CASE WHEN l_extendedprice > 50000 THEN 0.8 ELSE 0.0 END, least(1.0, sqrt(power(l_partkey, 2) + power(l_suppkey, 2)) / CAST(10000 AS DOUBLE)), least(1.0, l_quantity / CAST(50 AS DOUBLE))), 4) AS emotional_input FROM lineitem"
+    """MX-30, F-13: the emotional input that a record's price and coordinates raise."""
+    return "SELECT l_orderkey, l_linenumber, round(greatest(0.5, CASE WHEN l_extendedprice > 1000000 THEN 0.8 ELSE 0.0 END, least(1.0, sqrt(power(l_partkey, 2) + power(l_suppkey, 2)) / CAST(10000 AS DOUBLE))), 4) AS emotional_input FROM lineitem"
 
 
 def _temporal_phase(x: Dialect) -> str:
@@ -136,21 +163,21 @@ def _probe(x: Dialect) -> str:
 
 
 def _consistent(x: Dialect) -> str:
-    """ST-04..06: states that every phase knows."""
-    return "SELECT hexagram_id FROM emotional_weights WHERE phase_temporal = 'past' INTERSECT SELECT hexagram_id FROM emotional_weights WHERE phase_temporal = 'future' INTERSECT SELECT hexagram_id FROM documents"
+    """ST-04..06: states that every phase of the profiles knows, and documents too."""
+    if x.spark:
+        return "SELECT hexagram_id FROM emotional_weights GROUP BY hexagram_id HAVING count(DISTINCT phase_temporal) = (SELECT count(DISTINCT phase_temporal) FROM emotional_weights) INTERSECT SELECT hexagram_id FROM documents"
+    return "SELECT DISTINCT d.hexagram_id FROM documents AS d WHERE d.hexagram_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT phase_temporal AS p FROM emotional_weights WHERE phase_temporal IS NOT NULL) AS a WHERE NOT EXISTS (SELECT 1 FROM emotional_weights AS e WHERE e.hexagram_id = d.hexagram_id AND e.phase_temporal = a.p))"
 
 
 def missing_ids(spark: SparkSession, d: str) -> DataFrame:
     """ST-05: of all states, those that an edition of the registry lacks."""
     has = table(spark, d, "hexagram_registry").select("edition_id", F.col("hexagram_id").alias("id")).distinct()
-    # Editions without their ids are few: each is checked against all 64.
-    every = has.select("edition_id").distinct().crossJoin(F.broadcast(states(spark).select("id")))
+    every = has.select("edition_id").distinct().select("edition_id", F.explode(F.array(*[F.lit(i) for i, *_ in state_rows()])).alias("id"))
     return every.join(has, (every["edition_id"].eqNullSafe(has["edition_id"])) & (every["id"] == has["id"]), "left_anti")
 
 
 def _missing(x: Dialect) -> str:
-    """The registered SQL, which looks at one category of even editions together: less than :func:`missing_ids`."""
-    return f"SELECT id FROM {states_sql()} AS h EXCEPT SELECT hexagram_id FROM hexagram_registry WHERE edition_id % 2 = 0 AND category = 'herald'"
+    return f"SELECT e.edition_id, h.id FROM (SELECT DISTINCT edition_id FROM hexagram_registry) AS e CROSS JOIN {states_sql()} AS h EXCEPT SELECT edition_id, hexagram_id FROM hexagram_registry"
 
 
 def _score_tables(x: Dialect) -> str:
@@ -197,15 +224,22 @@ _SQL = {
 }
 _BUILT = {name: shared(sql, tables) for name, (sql, tables) in _SQL.items()}
 QUERIES = {f.__name__: f for f in (
-    event_intent_states, event_model_bias, event_save_strings, event_timeseries, profile_registry_asof, doc_clean, page_features, formula_classify, domain_keywords, edge_resolution, mesh_orphans, mesh_clusters,
+    event_intent_states, event_model_bias, event_save_strings, event_timeseries, profile_registry_asof, doc_clean, page_features, formula_classify, domain_keywords, edge_resolution, edge_missing, mesh_degrees, mesh_orphans, mesh_clusters, doc_paragraphs, scene_sentence_chunks,
 )} | {name: run for name, (run, _) in _BUILT.items()} | {"missing_ids": missing_ids}
 
 _AXIS = lambda i: f"(CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), {i}, 2) AS BIGINT) % 100 / CAST(100 AS DOUBLE))"
 _AXES_SQL = f"SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS tick, {_AXIS(1)} AS chaos, {_AXIS(3)} AS whimsy, {_AXIS(5)} AS dark FROM events"
 _MOMENTUM = f"SELECT *, CASE WHEN count(*) OVER w = 3 THEN least(1.0, chaos + 0.1 * (avg(chaos) OVER w + avg(whimsy) OVER w) / 2) ELSE chaos END AS chaos_m FROM ({_AXES_SQL}) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)"
 _PACKED = f"SELECT *, (b & 63) + 1 AS state, (b >> 6) % 3 AS phase FROM (SELECT *, CAST(power(2, tick % 3) AS INTEGER) + CASE WHEN chaos_m > 0.5 THEN 8 ELSE 0 END + CASE WHEN whimsy > 0.5 THEN 16 ELSE 0 END + CASE WHEN dark > 0.5 THEN 32 ELSE 0 END + CASE WHEN event_type IN ('view', 'click') THEN 64 WHEN event_type = 'error' THEN 128 ELSE 256 END AS b FROM ({_MOMENTUM}))"
-_EDGES = "SELECT DISTINCT o_custkey AS source, 'customer ' || lpad(CAST(CAST(floor(o_custkey / 2.0) AS BIGINT) AS VARCHAR), 9, '0') AS target FROM orders"
-_RESOLVED = f"SELECT e.source, e.target, coalesce(a.id, b.id) AS found, CASE WHEN a.id IS NOT NULL THEN 'exact' WHEN b.id IS NOT NULL THEN 'plain' END AS rule FROM ({_EDGES}) e LEFT JOIN (SELECT c_name, min(c_custkey) AS id FROM customer GROUP BY c_name) a ON a.c_name = e.target LEFT JOIN (SELECT regexp_replace(lower(trim(c_name)), '[^a-z0-9]+', '_', 'g') AS p, min(c_custkey) AS id FROM customer GROUP BY 1) b ON b.p = regexp_replace(lower(trim(e.target)), '[^a-z0-9]+', '_', 'g')"
+_PAD = "lpad(CAST(o_orderkey % 1999 AS VARCHAR), 9, '0')"
+_EDGES = f"SELECT DISTINCT o_custkey AS source, CASE o_orderkey % 4 WHEN 0 THEN 'Customer#' || {_PAD} WHEN 1 THEN ' customer ' || {_PAD} WHEN 2 THEN 'notes/customers/Customer#' || {_PAD} || '.md' ELSE 'client ' || {_PAD} END AS target FROM orders"
+_LOOSE = lambda c: f"regexp_replace(lower(trim({c})), '[^a-z0-9]+', '_', 'g')"
+_STEM = lambda c: f"regexp_replace(regexp_replace({c}, '^.*/', ''), '\\.[A-Za-z0-9]+$', '')"
+_RESOLVED = f"""SELECT e.source, e.target, coalesce(a.id, b.id, s.id) AS found, CASE WHEN a.id IS NOT NULL THEN 'exact' WHEN b.id IS NOT NULL THEN 'plain' WHEN s.id IS NOT NULL THEN 'stem' END AS rule FROM ({_EDGES}) e
+  LEFT JOIN (SELECT c_name, min(c_custkey) AS id FROM customer GROUP BY c_name) a ON a.c_name = e.target LEFT JOIN (SELECT {_LOOSE('c_name')} AS p, min(c_custkey) AS id FROM customer GROUP BY 1) b ON b.p = {_LOOSE('e.target')}
+  LEFT JOIN (SELECT {_LOOSE(_STEM('c_name'))} AS p, min(c_custkey) AS id FROM customer GROUP BY 1) s ON s.p = {_LOOSE(_STEM('e.target'))}"""
+_URGENT = _RESOLVED.replace("FROM orders", "FROM orders WHERE o_orderpriority = '1-URGENT'")
+_WHITE = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _N = lambda p: f"CAST(len(regexp_extract_all(text, {DUCK.text(p)})) AS INTEGER)"
 _HAS = lambda col, words: "(" + " OR ".join(f"contains({col}, '{w}')" for w in words) + ")"
 
@@ -215,12 +249,24 @@ ORACLE = {name: sql for name, (_, sql) in _BUILT.items()} | {
     "event_save_strings": f"SELECT user_id, count(*) AS kept, string_agg('[' || state || '];id:' || event_id || ';tmp:' || phase, ';' ORDER BY tick) AS session FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY tick DESC) AS rn FROM ({_PACKED})) WHERE rn <= 64 GROUP BY user_id",
     "event_timeseries": even(f"SELECT user_id, tick, event_id, {', '.join(f'round({c} - lag({c}) OVER (PARTITION BY user_id ORDER BY tick), 6) AS d_{c}' for c in ('chaos', 'whimsy', 'dark'))} FROM ({_AXES_SQL})"),
     "profile_registry_asof": "SELECT e.profile_id, e.hexagram_id, e.ingested_at, r.updated_at AS matched_time FROM emotional_weights e ASOF LEFT JOIN (SELECT DISTINCT hexagram_id, updated_at FROM hexagram_registry WHERE updated_at IS NOT NULL) r ON r.hexagram_id = e.hexagram_id AND r.updated_at <= e.observed_at",
-    "doc_clean": r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\b[A-Z]{2,}\b', ' ', 'g'), '[0-9]+', ' ', 'g'), '[^A-Za-z .,;:''!?-]', ' ', 'g'), ' +', ' ', 'g')) AS cleaned FROM documents WHERE text IS NOT NULL",
+    "doc_clean": f"""SELECT d.doc_id, coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE l.line <> ''), '') AS cleaned FROM documents AS d LEFT JOIN (
+      SELECT doc_id, i, CASE WHEN starts_with(bare, '--- PAGE') OR starts_with(bare, 'OF ') OR regexp_matches(bare, '^PAGE [0-9]+') THEN '' ELSE trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(bare, '[A-Z]{{2,}}', '', 'g'), '[0-9]+', '', 'g'), '[^\\p{{L}}\\p{{N}}_{_WHITE}.,;:''"!?\\-—]', ' ', 'g'), '[{_WHITE}]+', ' ', 'g')) END AS line
+      FROM (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, regexp_replace(unnest(ls), '^[{_WHITE}]+|[{_WHITE}]+$', '', 'g') AS bare FROM (SELECT doc_id, string_split_regex(text, '\\r\\n|[\\n\\r\\x{{0b}}\\x{{0c}}\\x{{1c}}-\\x{{1e}}\\x{{85}}\\x{{2028}}\\x{{2029}}]') AS ls FROM documents WHERE text IS NOT NULL))) AS l ON l.doc_id = d.doc_id WHERE d.text IS NOT NULL GROUP BY d.doc_id""",
+    "doc_paragraphs": f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS place, paragraph FROM (SELECT doc_id, unnest(range(1, len(ps) + 1)) AS i, regexp_replace(unnest(ps), '^[{_WHITE}]+|[{_WHITE}]+$', '', 'g') AS paragraph FROM (SELECT doc_id, string_split_regex(text, '\\n[\\s\\x{{0b}}]*\\n') AS ps FROM documents)) WHERE length(paragraph) > 40",
+    "edge_missing": f"SELECT target, count(*) AS edges FROM ({_RESOLVED}) WHERE found IS NULL GROUP BY target",
+    "mesh_degrees": f"SELECT id, count(DISTINCT other) AS degree FROM (SELECT source AS id, found AS other FROM ({_RESOLVED}) WHERE found IS NOT NULL UNION ALL SELECT found, source FROM ({_RESOLVED}) WHERE found IS NOT NULL) GROUP BY id",
+    "mesh_clusters": "SELECT least(min(o_custkey) * 2, min(o_orderkey) * 2 + 1) AS component, count(*) + 1 AS size FROM orders GROUP BY o_custkey ORDER BY size DESC, component LIMIT 10",
     "page_features": f"SELECT doc_id, {_N(r'(?m)^=+[^=' + chr(92) + 'n]+=+ *' + chr(92) + 'r?$')} AS headings, {_N('<math[^>]*>[^<]*</math>')} AS formulas, {_N(chr(92) + '[' + chr(92) + '[[^' + chr(92) + ']]*' + chr(92) + ']' + chr(92) + ']')} AS links, {_N('<ref[^>]*>[^<]*</ref>')} AS refs, {_N('(?m)^[*•] ')} AS items, {_N('<!--')} AS comments, {_N('https?://[^ ]+')} AS addresses, length(text) AS chars FROM documents WHERE text IS NOT NULL",
-    "formula_classify": "SELECT doc_id, CAST(i - 1 AS INTEGER) AS place, f[i] AS formula, CASE "
-    + " ".join(f"WHEN {_HAS('lower(f[i])', w)} THEN '{k}'" for k, w in (("ratio", ("\\frac", "ratio")), ("spread", ("\\sigma", "\\delta", "variance")), ("state", ("\\psi", "\\langle")), ("norm", ("\\sqrt", "norm")), ("sum", ("\\sum", "\\int")), ("equation", ("=",))))
-    + " ELSE 'other' END AS class FROM (SELECT doc_id, f, unnest(range(1, len(f) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '<math[^>]*>([^<]*)</math>', 1) AS f FROM documents))",
+    "formula_classify": r"""SELECT doc_id, CAST(i - 1 AS INTEGER) AS place, f[i] AS formula, CASE
+      WHEN lower(f[i]) LIKE '%\langle%' AND lower(f[i]) LIKE '%\hat{a}%' AND lower(f[i]) LIKE '%\psi%' THEN 'hermitian_operator'
+      WHEN contains(lower(f[i]), 'f(x)=') AND contains(lower(f[i]), '\sigma') AND contains(lower(f[i]), '\sqrt{2\pi}') AND contains(lower(f[i]), '\exp') THEN 'gaussian_normal'
+      WHEN contains(lower(f[i]), '\frac{-b \pm \sqrt{b^2 - 4ac}}{2a}') THEN 'quadratic_formula'
+      WHEN starts_with(lower(f[i]), '<math>') AND contains(lower(f[i]), '\delta =') AND contains(lower(f[i]), 'b^2 - 4ac') THEN 'discriminant'
+      WHEN regexp_matches(lower(f[i]), '\\exp|e\^\{|\\sigma|\\sqrt|\\frac') THEN 'algebraic_expression'
+      WHEN starts_with(lower(f[i]), '<chem>') OR contains(lower(f[i]), '\ce{') THEN 'reaction_representation'
+      WHEN regexp_matches(lower(f[i]), '\\hbar|\\nabla|\\partial') THEN 'hamiltonian' ELSE 'unclassified' END AS class
+      FROM (SELECT doc_id, f, unnest(range(1, len(f) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '<(?:math|chem)[^>]*>[^<]*</(?:math|chem)>') AS f FROM documents))""",
     "domain_keywords": "WITH hits AS (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS domain FROM documents WHERE {_HAS('lower(text)', w)}" for k, w in text.DOMAINS.items()) + ") SELECT * FROM hits UNION ALL SELECT doc_id, 'uncategorized' FROM documents WHERE text IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM hits)",
     "edge_resolution": _RESOLVED,
-    "mesh_orphans": f"SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT source FROM ({_RESOLVED})) AND c_custkey NOT IN (SELECT found FROM ({_RESOLVED}) WHERE found IS NOT NULL)",
+    "mesh_orphans": f"SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT source FROM ({_URGENT})) AND c_custkey NOT IN (SELECT found FROM ({_URGENT}) WHERE found IS NOT NULL)",
 }

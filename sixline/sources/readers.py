@@ -34,23 +34,75 @@ def json_items(spark: SparkSession, path: str, field: str, item: T.StructType) -
     """The elements of the array ``field`` of JSON documents (items, rows, coordinates, runs)."""
     if not _there(spark, path):
         return spark.createDataFrame([], item)
-    schema = T.StructType([T.StructField(field, T.ArrayType(item))])
+    schema = T.StructType([T.StructField(field, T.ArrayType(item)), T.StructField("_corrupt_record", T.StringType())])
     return spark.read.schema(schema).json(path, multiLine=True).select(F.explode(field).alias("_v")).select("_v.*")
 
 
+def broken(spark: SparkSession, path: str) -> DataFrame:
+    """(path, reason): files that a JSON source would take as empty because they aren't one JSON value."""
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
+    from sixline.operators.dewey import rejects
+
+    return rejects(whole, ["path"], "value")
+
+
+def audit(spark: SparkSession, root: str, expected: DataFrame) -> DataFrame:
+    """(path, length, status) of the files that ``expected`` (path relative to ``root``) names: ``ok``, ``empty`` or ``missing``."""
+    there = file_metadata(spark, root).select(F.substring_index("path", root.rstrip("/") + "/", -1).alias("path"), "length")
+    status = F.when(F.col("length").isNull(), "missing").when(F.col("length") == 0, "empty").otherwise("ok")
+    return expected.select("path").distinct().join(there, "path", "left").select("path", "length", status.alias("status"))
+
+
+def code_metadata(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """(path, bytes, chars, line_breaks) of source files."""
+    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
+    return whole.select(F.input_file_name().alias("path"), F.octet_length("value").alias("bytes"), F.length("value").alias("chars"), (F.length("value") - F.length(F.replace("value", F.lit("\n"), F.lit("")))).alias("line_breaks"))
+
+
+def _values(rows: DataFrame, whole: bool) -> DataFrame:
+    """``record`` as JSON text: of whole documents their list, items, rows or themselves; of what is no document, and of lines, each line that is one value."""
+    import json
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    from sixline.operators.jsontext import Reader
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = Reader().read
+
+        def lines(text: str):
+            for line in text.splitlines():
+                ok, value = read(line)
+                if ok:
+                    yield value
+
+        def of(text: str):
+            ok, value = read(text) if whole else (False, None)
+            if not ok:
+                yield from lines(text)
+                return
+            if isinstance(value, dict):
+                value = next((value[k] for k in ("items", "rows") if isinstance(value.get(k), list)), [value])
+            yield from value if isinstance(value, list) else [value]
+
+        for batch in batches:
+            for text in batch.column(0):
+                made = [json.dumps(v) for v in of(text.as_py() or "")]
+                yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], ["record"])
+
+    return rows.select("value").mapInArrow(run, "record string").select(F.parse_json("record").alias("record"))
+
+
 def records(spark: SparkSession, path: str) -> DataFrame:
     """Records of any of the shapes list, {items}, {rows}, single object or JSON lines, each as one VARIANT ``record``.
 
-    A file that parses as a whole is taken as a document, else line by line; what doesn't parse is left out.
+    A file that is one JSON value from end to end is taken as a document, else line by line; what
+    doesn't parse is left out. Files named .jsonl or .ndjson are read as lines, and so may have any size.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"), "value")
-    document = whole.filter("v IS NOT NULL AND instr(trim(value), '\n{') = 0").select("v")
-    shaped = document.select(F.coalesce(F.try_variant_get("v", "$.items", "variant"), F.try_variant_get("v", "$.rows", "variant"), F.col("v")).alias("v"))
-    listed = F.schema_of_variant("v").startswith("ARRAY")
-    from_lists = shaped.filter(listed).select(F.explode(F.col("v").cast("array<variant>")).alias("record"))
-    single = shaped.filter(~listed).select(F.col("v").alias("record"))
-    lines = whole.filter("v IS NULL OR instr(trim(value), '\n{') > 0").select(F.explode(F.split("value", "\r?\n")).alias("l"))
-    return from_lists.unionAll(single).unionAll(lines.select(F.try_parse_json("l").alias("record")).filter("record IS NOT NULL"))
+    if path.rstrip("*/").endswith((".jsonl", ".ndjson")):
+        return _values(spark.read.text(path), False)
+    return _values(spark.read.text(path, wholetext=True), True)
 
 
 def json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -102,7 +154,7 @@ def file_metadata(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 #: Sources by name, for pipelines that name them in a parameter.
 REGISTRY: dict[str, Callable[..., DataFrame]] = {
     "keyed_json": keyed_json, "json_items": json_items, "records": records, "json_lines": json_lines, "csv": csv_table, "text": text_lines,
-    "delimited": delimited, "skills": skills, "wikitext": wikitext, "lua": lua, "files": file_metadata,
+    "delimited": delimited, "skills": skills, "wikitext": wikitext, "lua": lua, "files": file_metadata, "code": code_metadata, "broken": broken,
 }
 
 
