@@ -79,3 +79,13 @@ def differences(left: DataFrame, right: DataFrame, keys: Sequence[str], fields:
     )
     key = [F.when(F.col("_left").isNull(), F.col(f"_r{i}")).otherwise(F.col(f"_l{i}")).alias(k) for i, k in enumerate(keys)]
     return joined.select(*key, F.explode(found).alias("_d")).select(*keys, "_d.*")
+
+
+def reconciled(left: DataFrame, right: DataFrame, keys: Sequence[str], fields: Sequence[str], tolerance: float) -> DataFrame:
+    """Keys, ``field`` and both values of numbers that differ by more than ``tolerance``, or of which one is null; keys of one side only aren't compared."""
+    l = left.select(*keys, F.struct(*fields).alias("_l"))
+    r = right.select(*keys, F.struct(*fields).alias("_r"))
+    each = lambda f: F.struct(F.lit(f).alias("field"), F.col(f"_l.{f}").alias("left_value"), F.col(f"_r.{f}").alias("right_value"))
+    rows = l.join(r, list(keys)).select(*keys, F.explode(F.array(*map(each, fields))).alias("_d")).select(*keys, "_d.*")
+    one = F.col("left_value").isNull() != F.col("right_value").isNull()
+    return rows.filter(one | (F.abs(F.col("left_value") - F.col("right_value")) > tolerance))

@@ -26,7 +26,10 @@ def asof(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time
     l = left.select(F.struct("*").alias("_row"), F.col(key).alias("_key"), F.col(left_time).alias("_t"), day(left_time).alias("_bucket"), F.lit(1).alias("_side"), F.lit(None).cast(kind).alias("_item"))
     r = right.filter(F.col(key).isNotNull() & F.col(right_time).isNotNull()).groupBy(F.col(key).alias("_key"), F.col(right_time).alias("_t"), day(right_time).alias("_bucket")).agg(F.max(item).alias("_item"))
     r = r.select(F.lit(None).cast(l.schema["_row"].dataType).alias("_row"), "_key", "_t", "_bucket", F.lit(0).alias("_side"), "_item")
-    both = l.unionAll(r)
+    # Rows that can't have a match stay out of the windows, where they would all meet in one group.
+    apart = F.col("_key").isNull() | F.col("_t").isNull()
+    unmatched = l.filter(apart).select("_row.*", F.lit(None).cast(right.schema[right_time].dataType).alias("matched_time"), *[F.lit(None).cast(right.schema[v].dataType).alias(f"matched_{v}") for v in values])
+    both = l.filter(~apart).unionAll(r)
     within = Window.partitionBy("_key", "_bucket").orderBy(order("_t"), "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     near = both.withColumn("_found", F.last("_item", ignorenulls=True).over(within))
     ends = r.groupBy("_key", "_bucket").agg((F.min_by if forward else F.max_by)("_item", "_t").alias("_end"))
@@ -34,4 +37,4 @@ def asof(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time
     earlier = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = buckets.select("_key", "_bucket", F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
     out = near.filter("_side = 1").join(carried, ["_key", "_bucket"], "left").withColumn("_m", F.when(F.col("_t").isNotNull(), F.coalesce("_found", "_carried")))
-    return out.select("_row.*", F.col("_m.time").alias("matched_time"), *[F.col(f"_m.{v}").alias(f"matched_{v}") for v in values])
+    return out.select("_row.*", F.col("_m.time").alias("matched_time"), *[F.col(f"_m.{v}").alias(f"matched_{v}") for v in values]).unionAll(unmatched)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sixline.plans import data, scoring, symbols, tables_plans
+from sixline.plans import data, ensemble, registry_plans, scoring, symbols, tables_plans
 
-_MODULES = (data, symbols, scoring, tables_plans)
+_MODULES = (data, symbols, scoring, tables_plans, ensemble, registry_plans)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

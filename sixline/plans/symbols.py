@@ -196,7 +196,7 @@ def _select_index(x: Dialect) -> str:
 
 
 def _fingerprints(x: Dialect) -> str:
-    return f"SELECT doc_id, substr({x.sha256('text')}, 1, 16) AS source_hash, substr({x.sha256('text')}, 1, 12) AS fingerprint, length(text) AS chars FROM documents WHERE text IS NOT NULL"
+    return f"SELECT doc_id, substr({x.sha256('text')}, 1, 16) AS source_hash, substr({x.sha256('text')}, 1, 12) AS fingerprint, substr(sha1(text), 1, 12) AS content, length(text) AS chars FROM documents WHERE text IS NOT NULL"
 
 
 def _duplicates(x: Dialect) -> str:

@@ -23,6 +23,21 @@ def event_save_strings(spark: SparkSession, d: str) -> DataFrame:
     return sessions.save_strings(table(spark, d, "events"))
 
 
+def event_running_bias(spark: SparkSession, d: str) -> DataFrame:
+    """WN-06: the bias of both models after every event."""
+    return sessions.running_bias(table(spark, d, "events"))
+
+
+def event_plain_states(spark: SparkSession, d: str) -> DataFrame:
+    """SS-02: every event's state without momentum."""
+    return sessions.plain_states(table(spark, d, "events"))
+
+
+def event_history_50(spark: SparkSession, d: str) -> DataFrame:
+    """SK-09: the last fifty events of each user."""
+    return sessions.last_events(table(spark, d, "events"), 50).select("event_id", "user_id", "tick")
+
+
 def event_timeseries(spark: SparkSession, d: str) -> DataFrame:
     return sessions.timeseries(table(spark, d, "events"))
 
@@ -224,7 +239,7 @@ _SQL = {
 }
 _BUILT = {name: shared(sql, tables) for name, (sql, tables) in _SQL.items()}
 QUERIES = {f.__name__: f for f in (
-    event_intent_states, event_model_bias, event_save_strings, event_timeseries, profile_registry_asof, doc_clean, page_features, formula_classify, domain_keywords, edge_resolution, edge_missing, mesh_degrees, mesh_orphans, mesh_clusters, doc_paragraphs, scene_sentence_chunks,
+    event_intent_states, event_model_bias, event_running_bias, event_plain_states, event_history_50, event_save_strings, event_timeseries, profile_registry_asof, doc_clean, page_features, formula_classify, domain_keywords, edge_resolution, edge_missing, mesh_degrees, mesh_orphans, mesh_clusters, doc_paragraphs, scene_sentence_chunks,
 )} | {name: run for name, (run, _) in _BUILT.items()} | {"missing_ids": missing_ids}
 
 _AXIS = lambda i: f"(CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), {i}, 2) AS BIGINT) % 100 / CAST(100 AS DOUBLE))"
@@ -247,6 +262,9 @@ ORACLE = {name: sql for name, (_, sql) in _BUILT.items()} | {
     "event_intent_states": even(f"SELECT h.id, h.name, h.action, s.phase, s.n, round(s.chaos, 6) AS chaos FROM (SELECT state, phase, count(*) AS n, avg(chaos_m) AS chaos FROM ({_PACKED}) GROUP BY state, phase) s JOIN {states_sql()} AS h ON h.id = s.state"),
     "event_model_bias": f"SELECT user_id, 1 + sum(CASE WHEN chaos > 0.7 AND whimsy > 0.7 THEN 1 ELSE 0 END) / CAST(10 AS DOUBLE) AS creative, 1 + sum(CASE WHEN NOT (chaos > 0.7 AND whimsy > 0.7) AND chaos < 0.3 THEN 1 ELSE 0 END) / CAST(10 AS DOUBLE) AS precise, count(*) AS events FROM ({_AXES_SQL}) GROUP BY user_id",
     "event_save_strings": f"SELECT user_id, count(*) AS kept, string_agg('[' || state || '];id:' || event_id || ';tmp:' || phase, ';' ORDER BY tick) AS session FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY tick DESC) AS rn FROM ({_PACKED})) WHERE rn <= 64 GROUP BY user_id",
+    "event_running_bias": f"SELECT event_id, user_id, 1 + sum(CASE WHEN chaos > 0.7 AND whimsy > 0.7 THEN 1 ELSE 0 END) OVER w / CAST(10 AS DOUBLE) AS creative, 1 + sum(CASE WHEN NOT (chaos > 0.7 AND whimsy > 0.7) AND chaos < 0.3 THEN 1 ELSE 0 END) OVER w / CAST(10 AS DOUBLE) AS precise FROM ({_AXES_SQL}) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)",
+    "event_plain_states": f"SELECT event_id, user_id, state, phase FROM ({_PACKED.replace('chaos_m > 0.5', 'chaos > 0.5')})",
+    "event_history_50": f"SELECT event_id, user_id, tick FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM ({_AXES_SQL})) WHERE tick > n - 50",
     "event_timeseries": even(f"SELECT user_id, tick, event_id, {', '.join(f'round({c} - lag({c}) OVER (PARTITION BY user_id ORDER BY tick), 6) AS d_{c}' for c in ('chaos', 'whimsy', 'dark'))} FROM ({_AXES_SQL})"),
     "profile_registry_asof": "SELECT e.profile_id, e.hexagram_id, e.ingested_at, r.updated_at AS matched_time FROM emotional_weights e ASOF LEFT JOIN (SELECT DISTINCT hexagram_id, updated_at FROM hexagram_registry WHERE updated_at IS NOT NULL) r ON r.hexagram_id = e.hexagram_id AND r.updated_at <= e.observed_at",
     "doc_clean": f"""SELECT d.doc_id, coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE l.line <> ''), '') AS cleaned FROM documents AS d LEFT JOIN (

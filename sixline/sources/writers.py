@@ -57,3 +57,13 @@ def bundle(manifest: DataFrame, samples: DataFrame, path: str, most: int = 8) ->
 def partitioned(df: DataFrame, path: str, *columns: str) -> None:
     """Parquet by partition columns, one writer task per partition value and hash bucket."""
     df.write.mode("overwrite").partitionBy(*columns).parquet(path)
+
+
+def append_run(df: DataFrame, path: str, run: str) -> None:
+    """Rows of one run added to a table of runs; a run that is there already is replaced, so a repeated job adds nothing twice."""
+    df.withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path)
+
+
+def rewritten(df: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with the rows of ``updates`` in place of those of their keys, and new ones added; write it as a new version."""
+    return df.join(updates.select(*keys).distinct(), keys, "left_anti").unionByName(updates, allowMissingColumns=True)

@@ -67,3 +67,35 @@ def test_writers(spark, tmp_path):
     assert len(zipfile.ZipFile(tmp_path / "b.zip").namelist()) == 3
     with pytest.raises(ValueError):
         writers.bounded(df, 1)
+
+
+def test_records_at_line_starts(spark, tmp_path):
+    p = _write(tmp_path / "a.json", '[\n{"a": 1,\n "b": 2},\n{"a": 3}\n]\n')
+    assert readers.records(spark, p).selectExpr("variant_get(record, '$.a', 'int') AS a").collect() == [(1,), (3,)]
+    p = _write(tmp_path / "l.jsonl", '{"a": 1}\n\n{"a": 2} x\n{"a": 3}\n')
+    assert sorted(r.a for r in readers.records(spark, p).selectExpr("variant_get(record, '$.a', 'int') AS a").collect()) == [1, 3]
+
+
+def test_broken_files_are_named(spark, tmp_path):
+    _write(tmp_path / "d" / "bad.json", '[{"a": 1}')
+    _write(tmp_path / "d" / "good.json", "[]")
+    got = readers.broken(spark, str(tmp_path / "d")).collect()
+    assert [(r.path.rsplit("/", 1)[1], r.reason) for r in got] == [("bad.json", "broken")]
+
+
+def test_audit_and_code(spark, tmp_path):
+    _write(tmp_path / "x" / "a.py", "one\ntwo\n")
+    _write(tmp_path / "x" / "b.py", "")
+    expected = spark.createDataFrame([("a.py",), ("b.py",), ("c.py",)], "path string")
+    assert {(r.path, r.status) for r in readers.audit(spark, str(tmp_path / "x"), expected).collect()} == {("a.py", "ok"), ("b.py", "empty"), ("c.py", "missing")}
+    got = {r.path.rsplit("/", 1)[1]: (r.bytes, r.chars, r.line_breaks) for r in readers.code_metadata(spark, str(tmp_path / "x")).collect()}
+    assert got["a.py"] == (8, 8, 2)
+
+
+def test_runs_and_rewrites(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, t string")
+    for run, rows in (("one", 2), ("two", 1), ("two", 1)):
+        writers.append_run(df.limit(rows), str(tmp_path / "runs"), run)
+    assert {(r.run, r["count"]) for r in spark.read.parquet(str(tmp_path / "runs")).groupBy("run").count().collect()} == {("one", 2), ("two", 1)}
+    new = writers.rewritten(df, spark.createDataFrame([(2, "c"), (3, "d")], "id int, t string"), ["id"])
+    assert sorted(map(tuple, new.collect())) == [(1, "a"), (2, "c"), (3, "d")]
