@@ -47,10 +47,20 @@ def broken(spark: SparkSession, path: str) -> DataFrame:
 
 
 def audit(spark: SparkSession, root: str, expected: DataFrame) -> DataFrame:
-    """(path, length, status) of the files that ``expected`` (path relative to ``root``) names: ``ok``, ``empty`` or ``missing``."""
-    there = file_metadata(spark, root).select(F.substring_index("path", root.rstrip("/") + "/", -1).alias("path"), "length")
-    status = F.when(F.col("length").isNull(), "missing").when(F.col("length") == 0, "empty").otherwise("ok")
-    return expected.select("path").distinct().join(there, "path", "left").select("path", "length", status.alias("status"))
+    """(path, length, status) of the files that ``expected`` (path relative to ``root``) names: ``ok``, ``empty`` or ``missing``; looked up by the executors."""
+    import pyarrow as pa
+
+    def look(batches):
+        from pyarrow import fs
+
+        system, at = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+        for batch in batches:
+            found = system.get_file_info([f"{at.rstrip('/')}/{p}" for p in batch.column(0).to_pylist()])
+            sizes = [f.size if f.is_file else None for f in found]
+            status = ["missing" if n is None else "ok" if n else "empty" for n in sizes]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(status, pa.string())], ["path", "length", "status"])
+
+    return expected.filter("path IS NOT NULL").select("path").distinct().mapInArrow(look, "path string, length long, status string")
 
 
 def code_metadata(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
