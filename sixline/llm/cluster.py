@@ -66,7 +66,7 @@ def hashed(weights: dict[str, float], size: int = SLOTS):
     m = np.zeros((len(weights), size))
     for i, (w, (slot, sign)) in enumerate(zip(weights.values(), slots(list(weights), size))):
         m[i, slot] += sign * w
-    return m
+    return m[:, np.abs(m).sum(0) > 0]  # slots that no feature has are 0 everywhere
 
 
 def usable(df: DataFrame, key: str, features: Sequence[str], version: str | None, low: float = 0.0, high: float = 1.0) -> DataFrame:
@@ -88,6 +88,18 @@ def _squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)[None], 0)
 
 
+def _near(x: np.ndarray, c: np.ndarray, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest of ``c`` to each of x and its squared distance, in single precision: one product per block, small enough for the cache."""
+    a = np.concatenate([-2 * c.T, (c * c).sum(1)[None]]).astype(np.float32)
+    ones = np.column_stack([x, np.ones(len(x))]).astype(np.float32)
+    at, far = np.zeros(len(x), np.int64), np.zeros(len(x))
+    for i in range(0, len(x), block):
+        m = ones[i : i + block] @ a
+        at[i : i + block] = k = m.argmin(1)
+        far[i : i + block] = m[np.arange(len(m)), k]
+    return at, np.maximum(far + (x * x).sum(1), 0)
+
+
 def _uniform(ids: np.ndarray, salt: int) -> np.ndarray:
     """A number in (0, 1) of each id, the same on every run and in every partition."""
     z = ids.astype(np.uint64) + np.uint64((salt * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % 2**64)
@@ -105,9 +117,10 @@ def _sampled(points: DataFrame, project: np.ndarray, seeds: np.ndarray, salt: in
         for batch in batches:
             x = _matrix(batch, d) @ project
             ids = batch.column(0).to_numpy()
-            far = _squared(x, seeds).min(1) if len(seeds) else np.ones(len(x))
+            far = _near(x, seeds)[1] if len(seeds) else np.ones(len(x))
             with np.errstate(divide="ignore"):
-                key = np.where(far > 1e-18, np.log(_uniform(ids, salt)) / far, -np.inf)
+                # Points on a seed can't be drawn; below this, single precision doesn't tell.
+                key = np.where(far > 1e-6, np.log(_uniform(ids, salt)) / far, -np.inf)
             kept = np.concatenate([kept, np.column_stack([key, ids.astype(float), x])])
             kept = kept[np.lexsort((kept[:, 1], -kept[:, 0]))[:n]]
         kept = kept[np.isfinite(kept[:, 0])]
@@ -127,7 +140,7 @@ def _sums(points: DataFrame, project: np.ndarray, centroids: np.ndarray) -> np.n
         total = np.zeros((len(centroids), 1 + size))
         for batch in batches:
             x = _matrix(batch, d) @ project
-            near = _squared(x, centroids).argmin(1)
+            near = _near(x, centroids)[0]
             total[:, 0] += np.bincount(near, minlength=len(centroids))
             for i in range(size):
                 total[:, 1 + i] += np.bincount(near, x[:, i], len(centroids))
@@ -416,9 +429,11 @@ def _cells(centroids: np.ndarray, radius: float) -> np.ndarray:
 
 def _in_cells(x: np.ndarray, project: np.ndarray, centroids: np.ndarray, cell: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, cell, core) of each cell that a row belongs to, by its nearest centroid or by the halo."""
-    far = np.sqrt(_squared(x @ project, centroids))
-    own = cell[far.argmin(1)]
-    row, c = np.nonzero(far <= far.min(1)[:, None] + 4 * radius + 1e-6)
+    far = _squared(x @ project, centroids)
+    nearest_ = far.argmin(1)
+    own = cell[nearest_]
+    reach = (np.sqrt(far[np.arange(len(far)), nearest_]) + 4 * radius + 1e-6) ** 2
+    row, c = np.nonzero(far <= reach[:, None])
     pair = np.unique(row * np.int64(cell.max() + 1) + cell[c])
     row, at = pair // (cell.max() + 1), (pair % (cell.max() + 1)).astype(np.int32)
     return row, at, own[row] == at
