@@ -1 +1 @@
-"""Column builders that stay inside the JVM."""
+"""Column functions that plans and operators share."""

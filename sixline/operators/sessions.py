@@ -126,6 +126,15 @@ def save_strings(events: DataFrame, last: int = 64) -> DataFrame:
     return kept.groupBy("user_id").agg(F.count(F.lit(1)).alias("kept"), F.array_join(items, ";").alias("session"))
 
 
+def full_save_strings(events: DataFrame) -> DataFrame:
+    """Every event's whole save string: state id, its six lines as 1 and -1, temporal phase, axes and origin as JSON."""
+    rows = packed(with_momentum(with_axes(events)))
+    lines = F.expr("transform(sequence(0, 5), i -> CASE WHEN shiftright(bits, i) % 2 = 1 THEN '1' ELSE '-1' END)")
+    em = F.to_json(F.struct("chaos", "whimsy", "dark"))
+    origin = F.to_json(F.struct("event_type", "tick"))
+    return rows.select("event_id", F.concat(F.lit("[hex];id:"), F.col("bits").cast("string"), F.lit(";yao:"), F.array_join(lines, ","), F.lit(";tmp:"), F.col("phase").cast("string"), F.lit(";em:"), em, F.lit(";prv:"), origin).alias("save_string"))
+
+
 def timeseries(events: DataFrame) -> DataFrame:
     """user_id, tick, and the change of each axis from the tick before."""
     rows = with_axes(events)

@@ -70,7 +70,8 @@ def markup(documents: DataFrame) -> DataFrame:
     n = lambda p: F.size(F.regexp_extract_all("text", F.lit(p), F.lit(0))).alias
     return documents.filter("text IS NOT NULL").select(
         "doc_id", n(r"(?m)^=+[^=\n]+=+ *\r?$")("headings"), n(r"<math[^>]*>[^<]*</math>")("formulas"), n(r"\[\[[^\]]*\]\]")("links"),
-        n(r"<ref[^>]*>[^<]*</ref>")("refs"), n(r"(?m)^[*•] ")("items"), n(r"<!--")("comments"), n(r"https?://[^ ]+")("addresses"), F.length("text").alias("chars"),
+        n(r"<ref[^>]*>[^<]*</ref>")("refs"), n(r"(?m)^[*•] ")("items"), n(r"<!--")("comments"), n(r"https?://[^ ]+")("addresses"),
+        n(r"<chem[^>]*>[^<]*</chem>")("reactions"), n(r"<sub>[^<]*</sub>")("subs"), n(r"<sup>[^<]*</sup>")("sups"), F.length("text").alias("chars"),
     )
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sixline import tables as T
+from sixline.functions.axes import clamp, cosine, kernel, or_default, rnd
 from sixline.operators import sessions
 from sixline.plans import scoring, symbols
 from sixline.plans.dialect import DUCK, SPARK, even
@@ -15,12 +16,6 @@ from sixline.tables import AXES
 PROFILE = ["chaos", "whimsy", "darktone", "coherence", "voiceweight"]
 
 
-def rnd(c: Column | str, digits: int = 6) -> Column:
-    """Rounded by the one formula that both engines use."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.floor(c * 10**digits + 0.5001) / F.lit(float(10**digits))
-
-
 def _resolved(spark: SparkSession) -> DataFrame:
     """The 512 resolved states at no intensity."""
     return spark.sql(even(f"SELECT * FROM {scoring.expanded(SPARK)} AS e"))
@@ -82,10 +77,6 @@ def ensemble_distinct(spark: SparkSession, d: str) -> DataFrame:
 _SHIFTS = {p: s for p, _, _, s in T.PHASES}
 
 
-def _clamp(c: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
-
-
 @query(f"""SELECT id, round(avg(energy), 6) AS mean_energy, round(min(energy), 6) AS least_energy, round(max(energy), 6) AS most_energy FROM (
   SELECT e.id, greatest(0.0, least(1.0, {' + '.join(f'greatest(0.0, e.{a}) * abs(p.s_{a})' for a in AXES)} - (0.5 * abs(yin - yang) / 6.0 + 0.3 * yao / 6.0 + 0.2 * changing / 6.0))) AS energy
   FROM {_E} AS e JOIN {T.phases_sql()} AS p ON p.phase = e.phase) AS x GROUP BY id""")
@@ -94,7 +85,7 @@ def hamiltonian_energy(spark: SparkSession, d: str) -> DataFrame:
     e = _resolved(spark).join(F.broadcast(T.phases(spark).drop("temporal", "polarity", *[f"_{a}" for a in AXES])), "phase")
     pull = sum((F.greatest(F.lit(0.0), F.col(a)) * F.abs(f"s_{a}") for a in AXES), F.lit(0.0))
     drag = 0.5 * F.abs(F.col("yin") - F.col("yang")) / 6 + 0.3 * F.col("yao") / 6 + 0.2 * F.col("changing") / 6
-    return e.withColumn("energy", _clamp(pull - drag)).groupBy("id").agg(rnd(F.avg("energy")).alias("mean_energy"), rnd(F.min("energy")).alias("least_energy"), rnd(F.max("energy")).alias("most_energy"))
+    return e.withColumn("energy", clamp(pull - drag)).groupBy("id").agg(rnd(F.avg("energy")).alias("mean_energy"), rnd(F.min("energy")).alias("least_energy"), rnd(F.max("energy")).alias("most_energy"))
 
 
 @query(f"""WITH p AS (SELECT temporal, porosity / 4.0 AS pn, count(*) AS n FROM {_E} AS e GROUP BY temporal, porosity)
@@ -104,7 +95,7 @@ def porosity_levels(spark: SparkSession, d: str) -> DataFrame:
     p = _resolved(spark).groupBy("temporal", (F.col("porosity") / 4.0).alias("pn")).agg(F.count(F.lit(1)).alias("n"))
     weighed = lambda c: F.sum(c * F.col("n")) / F.sum("n")
     mode = F.max(F.struct("n", (-F.col("pn")).alias("low"), "pn"))["pn"]
-    return p.groupBy("temporal").agg(rnd(weighed(F.col("pn"))).alias("mean_porosity"), mode.alias("mode_porosity"), rnd(weighed(F.when(F.col("pn") == 0, 0.35).otherwise(F.col("pn"))) / 2).alias("sigma"))
+    return p.groupBy("temporal").agg(rnd(weighed(F.col("pn"))).alias("mean_porosity"), mode.alias("mode_porosity"), rnd(weighed(or_default("pn", 0.35)) / 2).alias("sigma"))
 
 
 @query(f"SELECT id, string_agg(CAST(phase AS VARCHAR) || ':' || CAST(porosity AS VARCHAR) || ':' || CAST(CAST(floor({' + '.join(AXES)} + 0.0001) AS INTEGER) AS VARCHAR), ' ' ORDER BY phase) AS details FROM {_E} AS e GROUP BY id")
@@ -218,10 +209,7 @@ def ranked_pools(vectors: DataFrame, keys: list[str], pool_table: DataFrame) ->
     """WN-08: all pools of every vector by cosine, ties by name; the pool table is a dimension that every vector is held against, so it is exploded per row."""
     held = pool_table.agg(F.collect_list(F.struct("pool", *[f"p_{a}" for a in AXES])).alias("_pools"))
     each = vectors.join(F.broadcast(held)).select(*keys, *AXES, F.explode("_pools").alias("_p")).select(*keys, *AXES, "_p.*")
-    dot = sum((F.col(a) * F.col(f"p_{a}") for a in AXES[1:]), F.col(AXES[0]) * F.col(f"p_{AXES[0]}"))
-    norm = lambda p: F.sqrt(sum((F.col(f"{p}{a}") * F.col(f"{p}{a}") for a in AXES[1:]), F.col(f"{p}{AXES[0]}") * F.col(f"{p}{AXES[0]}")))
-    both = norm("") * norm("p_")
-    sim = each.withColumn("similarity", rnd(F.when(both == 0, 0.0).otherwise(dot / both)))
+    sim = each.withColumn("similarity", rnd(cosine(AXES, [f"p_{a}" for a in AXES])))
     return sim.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("similarity"), "pool")))
 
 
@@ -242,7 +230,7 @@ def porosity_blend(spark: SparkSession, d: str) -> DataFrame:
     e = _resolved(spark)
     best = ranked_pools(e, ["id", "phase"], pools(_profiles(spark, d))).filter("place = 1").select("id", "phase", "pool", *[f"p_{a}" for a in AXES])
     half = F.col("pn") * 0.5
-    return e.join(best, ["id", "phase"]).select("id", "phase", "pool", *[rnd(_clamp(F.col(a) * (1 - half) + F.col(f"p_{a}") * half)).alias(a) for a in AXES])
+    return e.join(best, ["id", "phase"]).select("id", "phase", "pool", *[rnd(clamp(F.col(a) * (1 - half) + F.col(f"p_{a}") * half)).alias(a) for a in AXES])
 
 
 @query(f"""WITH r AS (SELECT * FROM {_RANKED} AS x WHERE phase = 0 AND place <= 3)
@@ -339,12 +327,6 @@ def gaussian_kernel(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "emotional_weights").filter("chaos IS NOT NULL").select("profile_id", "ingested_at", (k > 0.5).alias("within"), rnd(k).alias("kernel"))
 
 
-def kernel(value: Column, center: float, width: float) -> Column:
-    if width <= 1e-9:
-        return (value == center).cast("double")
-    return F.exp(-F.pow(value - center, 2) / (2 * (width / 2.35482) ** 2))
-
-
 @query("""SELECT profile_id, ingested_at, 'state ' || CAST(hexagram_id AS VARCHAR) || ': chaos ' || printf('%.2f', floor(chaos * 100 + 0.5001) / 100) || ', coherence ' || printf('%.2f', floor(coherence * 100 + 0.5001) / 100) || CASE WHEN phase_temporal IS NULL THEN '' ELSE ' in ' || phase_temporal END AS summary FROM emotional_weights WHERE chaos IS NOT NULL AND coherence IS NOT NULL AND hexagram_id IS NOT NULL""")
 def profile_summaries(spark: SparkSession, d: str) -> DataFrame:
     """TX-09: a profile as a sentence, with numbers of two digits."""
@@ -371,3 +353,30 @@ def note_branches(spark: SparkSession, d: str) -> DataFrame:
     """TX-15: the branches whose words a note has anywhere; the word lists are parameters."""
     t = F.lower("trainingnotes")
     return table(spark, d, "emotional_weights").filter("trainingnotes IS NOT NULL").select("profile_id", "ingested_at", F.concat_ws(",", *[F.when(F.greatest(*[t.contains(x) for x in w]), k) for k, w in _LISTED.items()]).alias("branches"))
+
+
+_TAU = f"(SELECT *, 0.25 * ({' + '.join(AXES)}) + 0.25 * pn + 0.2 * 0.5 + 0.25 * ((abs(yin - yang) + abs(yang - yao) + abs(yao - yin)) / 6.0) + 0.1575 AS tau FROM {_E} AS e)"
+
+
+@query(f"""WITH t AS (SELECT * FROM {_TAU} AS x), s AS (SELECT avg(tau) AS mu, greatest(1e-9, avg(CASE WHEN pn = 0 THEN 0.0875 ELSE pn END) / 2) AS sigma FROM t),
+  w AS (SELECT t.id, t.phase, exp(-power(tau - mu, 2) / (2 * sigma * sigma)) AS w FROM t, s),
+  v AS (SELECT l.id, l.position, CASE l.state WHEN 0 THEN 'yin' WHEN 1 THEN 'yang' ELSE 'yao' END AS family, sum(w.w) / (SELECT sum(w) FROM w) AS vote FROM {symbols.lines(symbols.space()).replace('{numbers}', DUCK.numbers(6))} AS l JOIN w ON w.id = l.id AND w.phase = l.phase GROUP BY 1, 2, 3)
+  SELECT id, position, family, round(vote, 6) AS vote, 'old_' || family AS label, CASE WHEN row_number() OVER (PARTITION BY id, position ORDER BY round(vote, 6) DESC, family) = 1 THEN 1 ELSE 0 END AS wins FROM v""")
+def line_vote_weighted(spark: SparkSession, d: str) -> DataFrame:
+    """AG-14, AG-13, MX-04: votes of the line families for each line of each state, every phase by its Gaussian weight around the mean tau."""
+    part = (F.abs(F.col("yin") - F.col("yang")) + F.abs(F.col("yang") - F.col("yao")) + F.abs(F.col("yao") - F.col("yin"))) / 6
+    t = _resolved(spark).withColumn("tau", 0.25 * sum((F.col(a) for a in AXES[1:]), F.col(AXES[0])) + 0.25 * F.col("pn") + 0.2 * 0.5 + 0.25 * part + 0.1575)
+    s = t.agg(F.avg("tau").alias("mu"), F.greatest(F.lit(1e-9), F.avg(or_default("pn", 0.0875)) / 2).alias("sigma"))
+    w = t.join(F.broadcast(s)).select("id", "phase", F.exp(-F.pow(F.col("tau") - F.col("mu"), 2) / (2 * F.col("sigma") * F.col("sigma"))).alias("w"))
+    lines = spark.sql(f"SELECT * FROM {symbols.lines(symbols.space()).replace('{numbers}', SPARK.numbers(6))} AS l").select("id", "phase", "position", F.element_at(F.array(F.lit("yin"), F.lit("yang"), F.lit("yao")), F.col("state") + 1).alias("family"))
+    v = lines.join(w, ["id", "phase"]).groupBy("id", "position", "family").agg(F.sum("w").alias("w")).join(F.broadcast(w.agg(F.sum("w").alias("all"))))
+    v = v.select("id", "position", "family", rnd(F.col("w") / F.col("all")).alias("vote"), F.concat(F.lit("old_"), F.col("family")).alias("label"))
+    return v.withColumn("wins", (F.row_number().over(Window.partitionBy("id", "position").orderBy(F.desc("vote"), "family")) == 1).cast("int"))
+
+
+@query(f"""SELECT s.slider, s.id AS winner, s.score, {', '.join(f'round(avg(e.{a}), 6) AS {a}' for a in AXES)}, round(avg(e.pn), 6) AS porosity FROM ({scoring.ORACLE['open_pool_consensus']}) AS s JOIN {_E} AS e ON e.id = s.id WHERE s.place = 1 GROUP BY s.slider, s.id, s.score""")
+def open_pool_winner(spark: SparkSession, d: str) -> DataFrame:
+    """AG-15, AG-16: the winner of every slider with its mean vector."""
+    best = scoring.QUERIES["open_pool_consensus"](spark, d).filter("place = 1").select("slider", "id", "score")
+    e = _resolved(spark).groupBy("id").agg(*[rnd(F.avg(a)).alias(a) for a in AXES], rnd(F.avg("pn")).alias("porosity"))
+    return best.join(e, "id").select("slider", F.col("id").alias("winner"), "score", *AXES, "porosity")

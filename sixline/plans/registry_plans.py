@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sixline import tables as T
+from sixline.functions.axes import rnd
 from sixline.operators import clock, dewey, diff
 from sixline.plans.dialect import even
-from sixline.plans.ensemble import _VALID, PROFILE, _profiles, rnd
+from sixline.plans.ensemble import _VALID, PROFILE, _profiles
 from sixline.plans.scoring import ORACLE as _SCORED
 from sixline.plans.scoring import QUERIES as _SCORES
 from sixline.session import table

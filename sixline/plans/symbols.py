@@ -223,6 +223,15 @@ def _md5_axes(x: Dialect) -> str:
     return f"SELECT event_id, CAST({byte(1)} AS DOUBLE) AS chaos, CAST({byte(3)} AS DOUBLE) AS whimsy, CAST({byte(5)} AS DOUBLE) AS dark FROM events"
 
 
+def decoded(df, code: str, strict: bool = True):
+    """PF-01: ``df`` with the state and phase of a nine-bit code; one out of range is an error, or null where not ``strict``."""
+    from pyspark.sql import functions as F
+
+    space_ = df.sparkSession.sql(f"SELECT code AS _code, id AS state, phase, temporal, category, action FROM {space()} AS s")
+    known = df.withColumn(code, F.when(F.col(code).isNull() | F.col(code).between(0, 511), F.col(code)).otherwise(F.raise_error(F.concat(F.lit("no such code: "), F.col(code).cast("string"))))) if strict else df
+    return known.join(F.broadcast(space_), F.col(code) == F.col("_code"), "left").drop("_code")
+
+
 _SQL = {
     "state_space_512": (_state_space, ()),
     "reachable_lines": (_reachable, ()),

@@ -33,6 +33,11 @@ def event_plain_states(spark: SparkSession, d: str) -> DataFrame:
     return sessions.plain_states(table(spark, d, "events"))
 
 
+def event_full_strings(spark: SparkSession, d: str) -> DataFrame:
+    """SK-11: every event as a whole save string."""
+    return sessions.full_save_strings(table(spark, d, "events"))
+
+
 def event_history_50(spark: SparkSession, d: str) -> DataFrame:
     """SK-09: the last fifty events of each user."""
     return sessions.last_events(table(spark, d, "events"), 50).select("event_id", "user_id", "tick")
@@ -152,7 +157,7 @@ def _derive(x: Dialect) -> str:
 
 def _temporal_phase(x: Dialect) -> str:
     """PF-18, MX-36: old, young or between, by a bounded reading, with the weights of the three."""
-    v = "(event_id % 100)"
+    v = "greatest(CAST(0 AS DOUBLE), least(CAST(100 AS DOUBLE), coalesce(value, 50)))"
     return f"SELECT event_id, CASE WHEN {v} < 33 THEN 'old' WHEN {v} > 66 THEN 'young' ELSE 'transition' END AS substate, event_id % 3 AS tick3, CASE WHEN event_id % 3 = 0 THEN 0.6 ELSE 0.2 END AS w_past FROM events"
 
 
@@ -239,7 +244,7 @@ _SQL = {
 }
 _BUILT = {name: shared(sql, tables) for name, (sql, tables) in _SQL.items()}
 QUERIES = {f.__name__: f for f in (
-    event_intent_states, event_model_bias, event_running_bias, event_plain_states, event_history_50, event_save_strings, event_timeseries, profile_registry_asof, doc_clean, page_features, formula_classify, domain_keywords, edge_resolution, edge_missing, mesh_degrees, mesh_orphans, mesh_clusters, doc_paragraphs, scene_sentence_chunks,
+    event_intent_states, event_model_bias, event_running_bias, event_plain_states, event_full_strings, event_history_50, event_save_strings, event_timeseries, profile_registry_asof, doc_clean, page_features, formula_classify, domain_keywords, edge_resolution, edge_missing, mesh_degrees, mesh_orphans, mesh_clusters, doc_paragraphs, scene_sentence_chunks,
 )} | {name: run for name, (run, _) in _BUILT.items()} | {"missing_ids": missing_ids}
 
 _AXIS = lambda i: f"(CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), {i}, 2) AS BIGINT) % 100 / CAST(100 AS DOUBLE))"
@@ -264,6 +269,8 @@ ORACLE = {name: sql for name, (_, sql) in _BUILT.items()} | {
     "event_save_strings": f"SELECT user_id, count(*) AS kept, string_agg('[' || state || '];id:' || event_id || ';tmp:' || phase, ';' ORDER BY tick) AS session FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY tick DESC) AS rn FROM ({_PACKED})) WHERE rn <= 64 GROUP BY user_id",
     "event_running_bias": f"SELECT event_id, user_id, 1 + sum(CASE WHEN chaos > 0.7 AND whimsy > 0.7 THEN 1 ELSE 0 END) OVER w / CAST(10 AS DOUBLE) AS creative, 1 + sum(CASE WHEN NOT (chaos > 0.7 AND whimsy > 0.7) AND chaos < 0.3 THEN 1 ELSE 0 END) OVER w / CAST(10 AS DOUBLE) AS precise FROM ({_AXES_SQL}) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)",
     "event_plain_states": f"SELECT event_id, user_id, state, phase FROM ({_PACKED.replace('chaos_m > 0.5', 'chaos > 0.5')})",
+    "event_full_strings": f"""SELECT event_id, '[hex];id:' || b || ';yao:' || array_to_string(list_transform(range(6), lambda i: CASE WHEN (b >> CAST(i AS INTEGER)) & 1 = 1 THEN '1' ELSE '-1' END), ',') || ';tmp:' || phase
+      || ';em:{{"chaos":' || chaos || ',"whimsy":' || whimsy || ',"dark":' || dark || '}};prv:{{"event_type":"' || event_type || '","tick":' || tick || '}}' AS save_string FROM ({_PACKED})""",
     "event_history_50": f"SELECT event_id, user_id, tick FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM ({_AXES_SQL})) WHERE tick > n - 50",
     "event_timeseries": even(f"SELECT user_id, tick, event_id, {', '.join(f'round({c} - lag({c}) OVER (PARTITION BY user_id ORDER BY tick), 6) AS d_{c}' for c in ('chaos', 'whimsy', 'dark'))} FROM ({_AXES_SQL})"),
     "profile_registry_asof": "SELECT e.profile_id, e.hexagram_id, e.ingested_at, r.updated_at AS matched_time FROM emotional_weights e ASOF LEFT JOIN (SELECT DISTINCT hexagram_id, updated_at FROM hexagram_registry WHERE updated_at IS NOT NULL) r ON r.hexagram_id = e.hexagram_id AND r.updated_at <= e.observed_at",
@@ -274,7 +281,7 @@ ORACLE = {name: sql for name, (_, sql) in _BUILT.items()} | {
     "edge_missing": f"SELECT target, count(*) AS edges FROM ({_RESOLVED}) WHERE found IS NULL GROUP BY target",
     "mesh_degrees": f"SELECT id, count(DISTINCT other) AS degree FROM (SELECT source AS id, found AS other FROM ({_RESOLVED}) WHERE found IS NOT NULL UNION ALL SELECT found, source FROM ({_RESOLVED}) WHERE found IS NOT NULL) GROUP BY id",
     "mesh_clusters": "SELECT least(min(o_custkey) * 2, min(o_orderkey) * 2 + 1) AS component, count(*) + 1 AS size FROM orders GROUP BY o_custkey ORDER BY size DESC, component LIMIT 10",
-    "page_features": f"SELECT doc_id, {_N(r'(?m)^=+[^=' + chr(92) + 'n]+=+ *' + chr(92) + 'r?$')} AS headings, {_N('<math[^>]*>[^<]*</math>')} AS formulas, {_N(chr(92) + '[' + chr(92) + '[[^' + chr(92) + ']]*' + chr(92) + ']' + chr(92) + ']')} AS links, {_N('<ref[^>]*>[^<]*</ref>')} AS refs, {_N('(?m)^[*•] ')} AS items, {_N('<!--')} AS comments, {_N('https?://[^ ]+')} AS addresses, length(text) AS chars FROM documents WHERE text IS NOT NULL",
+    "page_features": f"SELECT doc_id, {_N(r'(?m)^=+[^=' + chr(92) + 'n]+=+ *' + chr(92) + 'r?$')} AS headings, {_N('<math[^>]*>[^<]*</math>')} AS formulas, {_N(chr(92) + '[' + chr(92) + '[[^' + chr(92) + ']]*' + chr(92) + ']' + chr(92) + ']')} AS links, {_N('<ref[^>]*>[^<]*</ref>')} AS refs, {_N('(?m)^[*•] ')} AS items, {_N('<!--')} AS comments, {_N('https?://[^ ]+')} AS addresses, {_N('<chem[^>]*>[^<]*</chem>')} AS reactions, {_N('<sub>[^<]*</sub>')} AS subs, {_N('<sup>[^<]*</sup>')} AS sups, length(text) AS chars FROM documents WHERE text IS NOT NULL",
     "formula_classify": r"""SELECT doc_id, CAST(i - 1 AS INTEGER) AS place, f[i] AS formula, CASE
       WHEN lower(f[i]) LIKE '%\langle%' AND lower(f[i]) LIKE '%\hat{a}%' AND lower(f[i]) LIKE '%\psi%' THEN 'hermitian_operator'
       WHEN contains(lower(f[i]), 'f(x)=') AND contains(lower(f[i]), '\sigma') AND contains(lower(f[i]), '\sqrt{2\pi}') AND contains(lower(f[i]), '\exp') THEN 'gaussian_normal'

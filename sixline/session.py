@@ -30,6 +30,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_MADE: list[str] = []
+
+
+def tidy(spark: SparkSession) -> None:
+    """Deletes what this process wrote to shared storage to cut lineage; call it when no result is needed any more."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    context = spark.sparkContext.getCheckpointDir()
+    for path in [*_MADE, *([context] if context else [])]:
+        at = hadoop(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _MADE.clear()
+    if context:
+        spark.sparkContext.setCheckpointDir(context.rsplit("/", 1)[0])
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and read back from shared storage, so that its lineage ends here."""
     context = df.sparkSession.sparkContext
@@ -42,5 +57,6 @@ def cut_columnar(df: DataFrame, label: str) -> DataFrame:
     """Like :func:`cut`, written as Parquet: for tables that are read several times by few columns."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _MADE.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

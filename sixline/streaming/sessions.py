@@ -1,4 +1,8 @@
-"""Streaming forms of the session operators: same results as the batch windows, with watermarks and state timeouts."""
+"""Streaming forms of the session operators.
+
+Within a batch events are put in order; over batches they count as they arrive, so ticks equal those
+of the batch plans where events arrive in their order, and differ for late ones.
+"""
 
 from __future__ import annotations
 
@@ -52,6 +56,23 @@ def states(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
     return packed(moved)
 
 
+def observed(stream: DataFrame, *callbacks, **options: str):
+    """A started query that hands every batch to each callback; one that fails is passed over and doesn't stop the others or the stream."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        try:
+            for call in callbacks:
+                try:
+                    call(batch, number)
+                except Exception as failed:  # noqa: BLE001
+                    print(f"observer {getattr(call, '__name__', call)!s} failed on batch {number}: {failed}")
+        finally:
+            batch.unpersist()
+
+    return stream.writeStream.foreachBatch(each).options(**options).trigger(availableNow=True).start()
+
+
 def windows(events: DataFrame, late: str = "10 minutes", gap: str = "1 hour") -> DataFrame:
     """Session windows per user with a watermark; later events are dropped."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)

@@ -108,3 +108,69 @@ def test_intervals(spark, raw, seconds):
 @pytest.mark.parametrize("raw,want", [("30 6 * * *", (30, 6)), ("*/5 6 * * *", (0, 8)), ("1 2 3", (0, 8)), ("61 6 * * *", (0, 8)), (None, (0, 8))])
 def test_daily(spark, raw, want):
     assert tuple(_one(spark, raw, clock.daily)) == want
+
+
+def test_codes_out_of_range(spark):
+    from sixline.plans import symbols
+
+    df = spark.createDataFrame([(0,), (511,), (None,), (512,)], "code int")
+    loose = {r.code: r.state for r in symbols.decoded(df, "code", strict=False).collect()}
+    assert loose[512] is None and loose[None] is None and loose[0] == 2 and loose[511] == 1
+    with pytest.raises(Exception, match="no such code: 512"):
+        symbols.decoded(df, "code").collect()
+
+
+def test_session_windows_and_observers_of_streams(spark, tmp_path):
+    from sixline.streaming import sessions as streaming
+
+    t = datetime(2025, 1, 1)
+    rows = [(1, 7, t, "view", 1.0), (2, 7, t + timedelta(minutes=30), "view", 1.0), (3, 7, t + timedelta(hours=5), "view", 1.0), (4, 8, t + timedelta(hours=40), "view", 1.0)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, event_type string, value double")
+    for i in range(2):
+        df.filter(f"(event_id = 4) = ({i} = 1)").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = streaming.windows(stream).writeStream.format("memory").queryName("gaps").outputMode("append").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    assert {(r.user_id, r.events) for r in spark.table("gaps").collect()} == {(7, 2), (7, 1)}
+    seen = []
+
+    def fails(batch, number):
+        raise ValueError("no")
+
+    q = streaming.observed(stream, fails, lambda batch, number: seen.append(batch.count()), checkpointLocation=str(tmp_path / "c2"))
+    assert q.awaitTermination(120) and sum(seen) == 4
+
+
+def test_tidy_deletes_what_was_cut(spark, tmp_path):
+    import os
+
+    from sixline import session
+
+    made = session.cut_columnar(spark.range(3), "t")
+    path = session._MADE[-1]
+    assert made.count() == 3 and os.path.exists(path)
+    session.tidy(spark)
+    assert not os.path.exists(path)
+
+
+@pytest.fixture
+def production(spark):
+    """The settings that production plans run with: compiled code and adaptive execution."""
+    wanted = {"spark.sql.codegen.wholeStage": "true", "spark.sql.codegen.factoryMode": "FALLBACK", "spark.sql.adaptive.enabled": "true"}
+    was = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k, v in was.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("name", ["p1_found", "p1_lines", "p2_found", "p5_found", "event_save_strings", "event_intent_states", "doc_intents", "mesh_clusters", "profile_registry_asof"])
+def test_production_plans_give_the_same(spark, production, name):
+    from sixline.plans import catalogue
+
+    d = "/root/testdata/sf0.001"
+    compiled = sorted(map(str, catalogue.queries()[name](production, d).collect()))
+    for k, v in {"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN", "spark.sql.adaptive.enabled": "false"}.items():
+        spark.conf.set(k, v)
+    assert compiled and compiled == sorted(map(str, catalogue.queries()[name](spark, d).collect()))
