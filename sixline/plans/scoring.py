@@ -467,6 +467,21 @@ _SQL = {
     "dominant_axis": (_dominant_axis, _E),
 }
 _BUILT = {name: shared(text, tables) for name, (text, tables) in _SQL.items()}
+
+
+def _weighted(text, tables: tuple[str, ...]):
+    """The Spark side of a query that uses the state weights: their 64 rows are made once, not at each place that reads them."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        for t in tables:
+            table(spark, d, t).createOrReplaceTempView(t)
+        cut(spark.sql(even(f"SELECT * FROM {weights()} AS w"))).createOrReplaceTempView("state_weights")
+        return spark.sql(even(text(SPARK)).replace(even(weights()), "(SELECT * FROM state_weights)"))
+
+    return run
+
+
+_BUILT |= {name: (_weighted(text, tables), _BUILT[name][1]) for name, (text, tables) in _SQL.items() if weights() in text(SPARK)}
 QUERIES = {name: run for name, (run, _) in _BUILT.items()} | {f.__name__: f for f in (doc_consensus, doc_expand_64, doc_resolve_512)}
 ORACLE = {name: sql for name, (_, sql) in _BUILT.items()} | {
     "doc_consensus": _consensus_sql(),
