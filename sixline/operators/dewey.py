@@ -129,8 +129,22 @@ def nodes(text: str | None, named_by: Sequence[str] = ("name", "label"), keep: C
                 break
         return list(own), list(up), plain(name), plain("".join(steps) if at.depth > TAIL else at.tail), plain(names[-1]) if names else "", kind, value
 
-    # A frame is a container's path and its children still to come; ordinals, names and steps run along.
-    stack: list[tuple[_Path, Iterator]] = []
+    def below(at: _Path, held: dict | list) -> Iterator[tuple]:
+        """(ordinal, step, name, value, path) of the children that are containers or given back; others only count."""
+        if isinstance(held, list):
+            path = path_of(at, "[]")
+            for i, v in enumerate(held):
+                if path.keep or isinstance(v, (dict, list)):
+                    yield i, "[]", None, v, path
+            return
+        for i, (k, v) in enumerate(held.items()):
+            step = f".{k}"
+            path = at.below.get(step) or path_of(at, step)
+            if path.keep or isinstance(v, (dict, list)) or (isinstance(v, str) and k in OPEN):
+                yield i, step, k, v, path
+
+    # A frame is a container's children still to come; ordinals, names and steps run along.
+    stack: list[Iterator] = []
     at, value = path_of(None, ""), root
     while True:
         if isinstance(value, str) and names and names[-1] in OPEN and not isinstance(value, _Number):
@@ -141,16 +155,14 @@ def nodes(text: str | None, named_by: Sequence[str] = ("name", "label"), keep: C
                 records[tuple(label)] = names[-1] if names else ""
             if at.keep:
                 yield made(at, "object" if isinstance(value, dict) else "array", None)
-            children = ((f".{k}", k, v) for k, v in value.items()) if isinstance(value, dict) else (("[]", None, v) for v in value)
-            stack.append((at, children))
+            stack.append(below(at, value))
             label.append(-1)
             names.append("")
             steps.append("")
         elif at.keep:
             yield made(at, *_scalar_kind(value))
         while stack:
-            above, children = stack[-1]
-            child = next(children, None)
+            child = next(stack[-1], None)
             if child is not None:
                 break
             stack.pop()
@@ -159,14 +171,12 @@ def nodes(text: str | None, named_by: Sequence[str] = ("name", "label"), keep: C
             steps.pop()
         else:
             return
-        step, name, value = child
-        label[-1] += 1
+        label[-1], step, name, value, at = child
         steps[-1] = step
         if name is None:
             own = next((value[n] for n in named_by if isinstance(value.get(n), str)), None) if isinstance(value, dict) else None
             name = str(label[-1]) if own is None else str(own)
         names[-1] = name
-        at = path_of(above, step)
 
 
 def _mapped(df: DataFrame, keys: Sequence[str], column: str, columns: str, rows: Callable[[], Callable[[str | None], Iterator[tuple]]]) -> DataFrame:
