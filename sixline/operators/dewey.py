@@ -1,9 +1,8 @@
 """Deeply nested JSON documents as related flat tables, by Dewey labels.
 
 A walk over each document gives every node its Dewey label, the list of ordinals on the way from the
-root ([0, 2, 5]). Parent links are derived by truncation: a node's label without its last ordinals is
-looked up among the labels of the document's records, the nearest one is its parent; so no join is
-needed. Nodes are grouped by schema path (member names, ``[]`` for every array, ``{}`` for members
+root ([0, 2, 5]). Parent links are derived by truncation: a node's label without its last ordinals, as
+far as the nearest record of the document above it, is its parent's; so no join is needed. Nodes are grouped by schema path (member names, ``[]`` for every array, ``{}`` for members
 that data name) into tables: :func:`tables` finds all of them, the functions below it take those of
 the two document kinds. The walk is one pass over Arrow batches without a shuffle, holds its place on
 a stack of its own, so no depth is too great, and makes labels only of the nodes it gives back.
@@ -66,11 +65,12 @@ def document(text: str | None) -> tuple[str, object]:
 class _Path:
     """A schema path's last steps, with those below it; what is asked of paths is answered once for each."""
 
-    __slots__ = ("steps", "tail", "depth", "below", "keep", "record")
+    __slots__ = ("steps", "tail", "plain", "depth", "below", "keep", "record")
 
     def __init__(self, steps: tuple[str, ...], depth: int, keep: Callable[[str], bool], record: Callable[[str], bool]) -> None:
         self.steps, self.depth, self.below = steps, depth, {}
         self.tail = ("" if depth <= TAIL else "…") + "".join(steps)
+        self.plain = plain(self.tail)
         self.keep, self.record = keep(self.tail), record(self.tail)
 
 
@@ -100,7 +100,7 @@ def nodes(text: str | None, named_by: Sequence[str] = ("name", "label"), keep: C
     names: list[str] = []
     label: list[int] = []
     steps: list[str] = []
-    records: dict[tuple, str] = {}
+    depths: list[int] = []  # of each open container: how long the label of the nearest record is, itself included; -1 for none
 
     def path_of(above: _Path | None, step: str) -> _Path:
         if above is None:
@@ -119,15 +119,12 @@ def nodes(text: str | None, named_by: Sequence[str] = ("name", "label"), keep: C
         return found
 
     def made(at: _Path, kind: str, value: str | None) -> tuple:
-        own = tuple(label)
-        up, name = own[:-1], names[-2] if len(names) > 1 else ""
-        for n in range(len(own) - 1, -1, -1):
-            if own[:n] in records:
-                up, name = own[:n], records[own[:n]]
-                break
-            if not records:
-                break
-        return list(own), list(up), plain(name), plain("".join(steps) if at.depth > TAIL else at.tail), plain(names[-1]) if names else "", kind, value
+        # The parent's label is this one cut off behind the nearest record above.
+        cut = depths[-1] if depths else -1
+        if cut < 0:
+            cut = max(0, len(label) - 1)
+        path = at.plain if at.depth <= TAIL else plain("".join(steps))
+        return label[:], label[:cut], names[cut - 1] if cut else "", path, names[-1] if names else "", kind, value
 
     def below(at: _Path, held: dict | list) -> Iterator[tuple]:
         """(ordinal, step, name, value, path) of the children that are containers or given back; others only count."""
@@ -151,10 +148,9 @@ def nodes(text: str | None, named_by: Sequence[str] = ("name", "label"), keep: C
             opened = decode(value)
             value = value if opened is None else opened
         if isinstance(value, (dict, list)):
-            if at.record:
-                records[tuple(label)] = names[-1] if names else ""
             if at.keep:
                 yield made(at, "object" if isinstance(value, dict) else "array", None)
+            depths.append(len(label) if at.record else depths[-1] if depths else -1)
             stack.append(below(at, value))
             label.append(-1)
             names.append("")
@@ -166,6 +162,7 @@ def nodes(text: str | None, named_by: Sequence[str] = ("name", "label"), keep: C
             if child is not None:
                 break
             stack.pop()
+            depths.pop()
             label.pop()
             names.pop()
             steps.pop()
@@ -176,7 +173,7 @@ def nodes(text: str | None, named_by: Sequence[str] = ("name", "label"), keep: C
         if name is None:
             own = next((value[n] for n in named_by if isinstance(value.get(n), str)), None) if isinstance(value, dict) else None
             name = str(label[-1]) if own is None else str(own)
-        names[-1] = name
+        names[-1] = plain(name)
 
 
 def _mapped(df: DataFrame, keys: Sequence[str], column: str, columns: str, rows: Callable[[], Callable[[str | None], Iterator[tuple]]]) -> DataFrame:
