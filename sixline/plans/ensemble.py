@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sixline import tables as T
-from sixline.functions.axes import clamp, cosine, kernel, or_default, rnd
+from sixline.functions.axes import clamp, cosine, kernel, lerp, middle, or_default, rnd
 from sixline.operators import sessions
 from sixline.plans import scoring, symbols
 from sixline.plans.dialect import DUCK, SPARK, even
@@ -200,6 +200,10 @@ def phase_yao_counts(spark: SparkSession, d: str) -> DataFrame:
 # --- Pools ------------------------------------------------------------------------------------
 
 
+#: Pools, at most, that are held against every vector.
+POOLS = 10_000
+
+
 def pools(profiles: DataFrame) -> DataFrame:
     """pool, p_*: the pool table that the operators take as parameter; here the profiles' means by phase, whose number is that of the phases' names."""
     return profiles.filter("phase_temporal IS NOT NULL").groupBy(F.col("phase_temporal").alias("pool")).agg(*[rnd(F.avg(c), 4).alias(f"p_{a}") for c, a in zip(PROFILE, AXES)])
@@ -208,6 +212,7 @@ def pools(profiles: DataFrame) -> DataFrame:
 def ranked_pools(vectors: DataFrame, keys: list[str], pool_table: DataFrame) -> DataFrame:
     """WN-08: all pools of every vector by cosine, ties by name; the pool table is a dimension that every vector is held against, so it is exploded per row."""
     held = pool_table.agg(F.collect_list(F.struct("pool", *[f"p_{a}" for a in AXES])).alias("_pools"))
+    held = held.select(F.when(F.size("_pools") <= POOLS, F.col("_pools")).otherwise(F.raise_error(F.lit(f"more than {POOLS} pools"))).alias("_pools"))
     each = vectors.join(F.broadcast(held)).select(*keys, *AXES, F.explode("_pools").alias("_p")).select(*keys, *AXES, "_p.*")
     sim = each.withColumn("similarity", rnd(cosine(AXES, [f"p_{a}" for a in AXES])))
     return sim.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("similarity"), "pool")))
@@ -380,3 +385,48 @@ def open_pool_winner(spark: SparkSession, d: str) -> DataFrame:
     best = scoring.QUERIES["open_pool_consensus"](spark, d).filter("place = 1").select("slider", "id", "score")
     e = _resolved(spark).groupBy("id").agg(*[rnd(F.avg(a)).alias(a) for a in AXES], rnd(F.avg("pn")).alias("porosity"))
     return best.join(e, "id").select("slider", F.col("id").alias("winner"), "score", *AXES, "porosity")
+
+
+#: The window of each porosity level.
+WINDOWS = [(0.0, 0.05), (0.05, 0.2), (0.2, 0.5), (0.5, 0.8), (0.8, 1.0)]
+_MID = "CASE e.porosity " + " ".join(f"WHEN {i} THEN {(a + b) / 2!r}" for i, (a, b) in enumerate(WINDOWS)) + " END"
+
+
+@query(f"""SELECT e.id, e.phase, {', '.join(f'round(greatest(0.0, least(1.0, e.{a} + (r.p_{a} - e.{a}) * ({_MID}))), 6) AS {a}' for a in AXES)} FROM {_E} AS e JOIN {_RANKED} AS r ON r.id = e.id AND r.phase = e.phase AND r.place = 2""")
+def porosity_bleed(spark: SparkSession, d: str) -> DataFrame:
+    """MX-20: each state's vector moved toward its second pool by the middle of its porosity's window."""
+    e = _resolved(spark)
+    second = ranked_pools(e, ["id", "phase"], pools(_profiles(spark, d))).filter("place = 2").select("id", "phase", *[f"p_{a}" for a in AXES])
+    t = F.lit(None).cast("double")
+    for level, (low, high) in enumerate(WINDOWS):
+        t = F.when(F.col("porosity") == level, middle(F.lit(low), F.lit(high))).otherwise(t)
+    return e.join(second, ["id", "phase"]).select("id", "phase", *[rnd(lerp(a, f"p_{a}", t)).alias(a) for a in AXES])
+
+
+@query(f"""WITH h AS (SELECT id, CASE WHEN length(replace(bits, '0', '')) >= 3 THEN 'yang' ELSE 'yin' END AS dominant, length(replace(bits, '0', '')) AS y FROM {T.states_sql()} AS s)
+  SELECT a.id, a.dominant, CASE WHEN b.id IS NULL THEN NULL WHEN a.dominant = b.dominant THEN 'stays ' || a.dominant ELSE b.dominant || ' to ' || a.dominant END AS shift, a.y - b.y AS lines FROM h AS a LEFT JOIN h AS b ON b.id = a.id - 1""")
+def sequence_shifts(spark: SparkSession, d: str) -> DataFrame:
+    """WN-01: which family dominates each state, and how that shifts from the state before; 64 rows."""
+    y = F.length(F.translate("bits", "0", ""))
+    h = T.states(spark).select("id", F.when(y >= 3, "yang").otherwise("yin").alias("dominant"), y.alias("y"))
+    w = Window.orderBy("id")
+    was = F.lag("dominant").over(w)
+    shift = F.when(was.isNull(), None).when(was == F.col("dominant"), F.concat(F.lit("stays "), "dominant")).otherwise(F.concat(was, F.lit(" to "), F.col("dominant")))
+    return h.select("id", "dominant", shift.alias("shift"), (F.col("y") - F.lag("y").over(w)).alias("lines"))
+
+
+@query("""SELECT profile_id, ingested_at, '[' || CASE WHEN coherence >= chaos THEN 'ORDER' ELSE 'DISORDER' END || '] ' || substr(trainingnotes, 1, 120) || CASE WHEN length(trainingnotes) > 120 THEN '…' ELSE '' END AS weave FROM emotional_weights WHERE trainingnotes IS NOT NULL AND chaos IS NOT NULL AND coherence IS NOT NULL""")
+def profile_weaves(spark: SparkSession, d: str) -> DataFrame:
+    """TX-19: a header by the stronger of two axes and the note's echo of up to 120 signs, which is the feature."""
+    e = table(spark, d, "emotional_weights").filter("trainingnotes IS NOT NULL AND chaos IS NOT NULL AND coherence IS NOT NULL")
+    head = F.when(F.col("coherence") >= F.col("chaos"), "[ORDER] ").otherwise("[DISORDER] ")
+    return e.select("profile_id", "ingested_at", F.concat(head, F.left("trainingnotes", F.lit(120)), F.when(F.length("trainingnotes") > 120, "…").otherwise("")).alias("weave"))
+
+
+@query(None)
+def consensus_proof(spark: SparkSession, d: str) -> DataFrame:
+    """consensus_proof: which states the documents agree on, and how many do."""
+    return scoring.QUERIES["doc_consensus"](spark, d).groupBy("winner", "category", "action").agg(F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("first_doc"))
+
+
+ORACLE["consensus_proof"] = f"SELECT winner, category, action, count(*) AS documents, min(doc_id) AS first_doc FROM ({scoring.ORACLE['doc_consensus']}) AS c GROUP BY 1, 2, 3"

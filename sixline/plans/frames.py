@@ -259,6 +259,7 @@ def voice_pool_rank(spark: SparkSession, d: str) -> DataFrame:
     w = _inside(_once(spark, d, "profile_id", "hexagram_id", *PROFILE)).groupBy(F.col("hexagram_id").alias("id")).agg(*means(None, "w_"))
     rows = _inside(table(spark, d, "emotional_weights")).filter("phase_temporal IS NOT NULL")
     held = rows.groupBy(F.col("phase_temporal").alias("pool")).agg(*means(None, "p_")).agg(F.collect_list(F.struct("pool", *[f"p_{a}" for a in AXES])).alias("_p"))  # one row per phase
+    held = held.select(F.when(F.size("_p") <= 10_000, F.col("_p")).otherwise(F.raise_error(F.lit("too many pools"))).alias("_p"))
     each = w.join(F.broadcast(held)).select("*", F.explode("_p").alias("_x")).select("id", *[f"w_{a}" for a in AXES], "_x.*")
     sim = each.select("id", "pool", rnd(cosine([f"w_{a}" for a in AXES], [f"p_{a}" for a in AXES])).alias("similarity"))
     return sim.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "pool")))
@@ -354,3 +355,76 @@ def dataset_score(spark: SparkSession, d: str) -> DataFrame:
     h = T.states(spark).select(F.col("id").alias("hexagram_id"), F.col("bits").alias("_bits"))
     r = table(spark, d, "hexagram_registry").join(F.broadcast(h), "hexagram_id").groupBy("edition_id")
     return r.agg(F.count(F.lit(1)).alias("records"), F.count_if(F.col("binary") == F.col("_bits")).alias("same_bits"), F.count_if(F.length("binary") == 6).alias("six"), F.floor(100 * F.count("category") / F.count(F.lit(1))).alias("percent"))
+
+
+@plan
+def session_window_events(spark: SparkSession, d: str) -> DataFrame:
+    # Spark's own session windows: partial sessions are merged before and after the shuffle. Just an hour apart is still one session.
+    events = table(spark, d, "events")
+    s = events.groupBy("user_id", F.session_window("ts", "1 hour 1 microsecond")).agg(F.count(F.lit(1)).alias("events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    return s.select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("first_ts")).cast("long").alias("session"), "events", "first_ts", "last_ts")
+
+
+@plan
+def query_probe_patterns(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "emotional_weights").filter(F.col("chaos").between(0, 1)).groupBy("session_id", "hexagram_id").agg(F.count(F.lit(1)).alias("n"), (F.max("chaos") - F.min("chaos")).alias("wide"))
+    pattern = F.when((F.col("wide") < 0.2) & (F.col("n") < 3), "minimal").when(F.col("wide") < 0.4, "passive").otherwise("expansive")
+    return rows.groupBy(pattern.alias("pattern")).agg(F.count(F.lit(1)).alias("sessions"), F.sum("n").alias("profiles"), F.min("session_id").alias("first_session"))
+
+
+@plan
+def xorshift_states(spark: SparkSession, d: str) -> DataFrame:
+    low = lambda v: v.bitwiseAND(F.lit(4294967295))
+    left, right = (lambda v, n: F.shiftleft(v, n)), (lambda v, n: F.shiftright(v, n))
+    e = table(spark, d, "events").select(F.col("event_id").cast("long").alias("event_id"), F.col("user_id").cast("long").alias("user_id"))
+    k = F.col("event_id")
+    place = left(F.col("user_id"), 24).bitwiseOR(left(k % 256, 16)).bitwiseOR(left(k % 97, 8))
+    h0 = low(k.bitwiseXOR(low(place)))
+    e = e.select("event_id", h0.alias("h"))
+    e = e.select("event_id", low(F.col("h").bitwiseXOR(low(left(k, 5)).bitwiseXOR(right(k, 7)))).alias("h"))
+    h = F.col("h")
+    return e.select("event_id", low(h.bitwiseXOR(low(left(h, 13)).bitwiseXOR(right(h, 17)).bitwiseXOR(low(left(h, 5))))).bitwiseAND(F.lit(511)).alias("code"))
+
+
+@plan
+def name_char_sums(spark: SparkSession, d: str) -> DataFrame:
+    total = F.aggregate(F.transform(F.split("name", ""), lambda c: F.ascii(c).cast("long")), F.lit(0).cast("long"), lambda s, c: s + c)
+    h = T.states(spark).select("id", total.alias("total"))
+    return h.select("id", "total", (F.col("total") % 97 / 1000).alias("weight"), (F.col("total") % 89 / 1000).alias("other"), (F.col("total") % 360).alias("spin"))
+
+
+@plan
+def arms_union(spark: SparkSession, d: str) -> DataFrame:
+    h, t = T.states(spark), T.trigrams(spark)
+    named = _bits(h).join(t.select(F.col("idx").alias("upper_idx"), F.col("tname").alias("upper_name")), "upper_idx").join(t.select(F.col("idx").alias("lower_idx"), F.col("tname").alias("lower_name")), "lower_idx")
+    primary = named.select(F.lit("primary").alias("arm"), "id", F.lit(0).alias("position"), F.col("category").alias("label"), "upper_name", "lower_name")
+    none = [F.lit("").alias("upper_name"), F.lit("").alias("lower_name")]
+    lines = h.select(F.lit("line").alias("arm"), "id", F.posexplode(F.split("bits", "")).alias("i", "label")).filter("label <> ''").select("arm", "id", (F.col("i") + 1).alias("position"), "label", *none)
+    other = h.select(F.reverse("bits").alias("_b"), F.col("name").alias("label"))
+    mirror = h.join(other, F.col("bits") == F.col("_b")).select(F.lit("mirror").alias("arm"), "id", F.lit(0).alias("position"), "label", *none)
+    return primary.unionByName(lines).unionByName(mirror)
+
+
+@plan
+def sequence_deltas(spark: SparkSession, d: str) -> DataFrame:
+    y = F.length(F.translate("bits", "0", ""))
+    h = T.states(spark).select("id", rnd(F.greatest(y, 6 - y) / 6).alias("stability"), rnd(F.least(y, 6 - y) / 6).alias("change"))
+    w = Window.orderBy("id")  # 64 rows
+    return h.select("*", *[rnd(F.col(c) - F.lag(c).over(w)).alias(f"d_{c}") for c in ("stability", "change")])
+
+
+@plan
+def slot_options(spark: SparkSession, d: str) -> DataFrame:
+    h = T.states(spark).select("id", "bits", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("slot")).select("*", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("ternary"))
+    return h.select("id", "slot", "ternary", F.when(F.expr("substring(bits, slot, 1)") == "1", "yang").otherwise("yin").alias("base"), (F.col("ternary") == 2).cast("int").alias("is_yao"), F.translate("bits", "01", "10").alias("inverted"))
+
+
+@plan
+def scene_every_25th(spark: SparkSession, d: str) -> DataFrame:
+    # A run may hold most scenes: places are counted within ranges of the index, plus what the ranges before hold.
+    s = table(spark, d, "jkd_ingestion_ternary").select("scene_id", "run_id", "scene_index", F.floor(F.col("scene_index") / 1024).alias("_r"))
+    local = s.withColumn("_i", F.row_number().over(Window.partitionBy("run_id", "_r").orderBy("scene_index", "scene_id")) - 1)
+    counts = s.groupBy(F.col("run_id").alias("_run"), F.col("_r").alias("_range")).agg(F.count(F.lit(1)).alias("_n"))
+    held = counts.select("_run", "_range", F.coalesce(F.sum("_n").over(Window.partitionBy("_run").orderBy(F.asc_nulls_last("_range")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_held"))
+    j = local.join(held, F.col("run_id").eqNullSafe(F.col("_run")) & F.col("_r").eqNullSafe(F.col("_range")))
+    return j.select("scene_id", "run_id", (F.col("_i") + F.col("_held")).alias("place")).filter("place % 25 = 0")

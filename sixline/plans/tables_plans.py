@@ -177,9 +177,9 @@ def _quality(x: Dialect) -> str:
 
 
 def _probe(x: Dialect) -> str:
-    """AG-24, PF-16: pattern of each session's states by spread, counted, with their mean."""
+    """AG-24, PF-16: pattern of each state in each session by spread, counted."""
     p = "CASE WHEN spread_c < 0.2 AND n < 3 THEN 'minimal' WHEN spread_c < 0.4 THEN 'passive' ELSE 'expansive' END"
-    return f"SELECT pattern, count(*) AS sessions, CAST(sum(n) AS BIGINT) AS profiles, min(session_id) AS first_session FROM (SELECT session_id, n, {p} AS pattern FROM (SELECT session_id, count(*) AS n, max(chaos) - min(chaos) AS spread_c FROM emotional_weights WHERE chaos BETWEEN 0 AND 1 GROUP BY session_id) AS s) AS q GROUP BY pattern"
+    return f"SELECT pattern, count(*) AS sessions, CAST(sum(n) AS BIGINT) AS profiles, min(session_id) AS first_session FROM (SELECT session_id, n, {p} AS pattern FROM (SELECT session_id, count(*) AS n, max(chaos) - min(chaos) AS spread_c FROM emotional_weights WHERE chaos BETWEEN 0 AND 1 GROUP BY session_id, hexagram_id) AS s) AS q GROUP BY pattern"
 
 
 def _consistent(x: Dialect) -> str:
