@@ -20,7 +20,7 @@ def p1_changes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_lines(spark: SparkSession, d: str) -> DataFrame:
-    return drift.lines(table(spark, d, "yao_line_records"))
+    return drift.lines(table(spark, d, "yao_line_records")).withColumn("others", F.to_json("others"))
 
 
 def p1_cast_failures(spark: SparkSession, d: str) -> DataFrame:
