@@ -130,4 +130,27 @@ def _p1_sql() -> str:
       UNION ALL SELECT file_id, field, 'retyped' FROM pair WHERE n > 1 AND was_type <> type"""
 
 
-ORACLE = {"p1_found": _p1_sql(), "p5_found": _p5_sql(False), "p5_differences": _p5_sql(True)}
+def _p2_sql() -> str:
+    """The elements by DuckDB's own JSON functions: each layout of the documents by its place, without labels."""
+    opened = lambda t, key, wrap: f"""(SELECT id, CASE json_type(j, '$.{wrap}') WHEN 'OBJECT' THEN j->'$.{wrap}' WHEN 'VARCHAR' THEN CASE WHEN json_valid(j->>'$.{wrap}') THEN CAST(j->>'$.{wrap}' AS JSON) ELSE j END ELSE j END AS j
+      FROM (SELECT id, CAST(p AS JSON) AS j FROM (SELECT {key} AS id, CASE WHEN json_type(payload) = 'VARCHAR' THEN CAST(payload AS JSON)->>'$' ELSE payload END AS p FROM {t} WHERE json_valid(payload)) AS a WHERE json_valid(p)) AS b WHERE json_type(j) = 'OBJECT')"""
+    each = lambda of: f"unnest(range(len(json_extract({of}, '$[*]'))))"
+    at = lambda of, i: f"json_extract({of}, '$[*]')[{i} + 1]"
+    score = "coalesce(d->>'$.hex_score', d->>'$.scores.hex_score')"
+    return f"""WITH c AS {opened('capture_detailed', 'capture_id', 'capture_detailed')}, r AS {opened('domain_registry', 'snapshot_id', 'domain_registry')},
+      level AS (SELECT id, k AS parent, json_extract(j, '$."' || k || '"') AS o FROM (SELECT id, j, unnest(json_keys(j)) AS k FROM c) AS x WHERE regexp_matches(k, '^-?[0-9]+$')
+        UNION ALL SELECT id, regexp_replace(coalesce(o->>'$.name', o->>'$.label'), '^input\\s*=\\s*', '') AS parent, o FROM (SELECT id, unnest(json_extract(j, '$.captures[*]')) AS o FROM c) AS y),
+      top AS (SELECT id, parent, i, {at('t', 'i')} AS v FROM (SELECT id, parent, o->'$.top12' AS t, {each("o->'$.top12'")} AS i FROM level) AS z),
+      grp AS (SELECT id, parent, g, {at('s', 'g')} AS v FROM (SELECT id, parent, o->'$.score_details_first3' AS s, {each("o->'$.score_details_first3'")} AS g FROM level) AS z),
+      detail AS (SELECT id, parent, g, p, {at('v', 'p')} AS d FROM (SELECT id, parent, g, v, {each('v')} AS p FROM grp WHERE json_type(v) = 'ARRAY') AS z UNION ALL SELECT id, parent, g, 0, v FROM grp WHERE json_type(v) = 'OBJECT'),
+      domain AS (SELECT id, k AS parent, json_extract(j, '$.domains."' || k || '"') AS o FROM (SELECT id, j, unnest(json_keys(j, '$.domains')) AS k FROM r WHERE json_type(j, '$.domains') = 'OBJECT') AS x
+        UNION ALL SELECT id, o->>'$.name', o FROM (SELECT id, unnest(json_extract(j, '$.domains[*]')) AS o FROM r WHERE json_type(j, '$.domains') = 'ARRAY') AS y),
+      pat AS (SELECT id, parent, i, {at('t', 'i')} AS v FROM (SELECT id, parent, o->'$.input_patterns' AS t, {each("o->'$.input_patterns'")} AS i FROM domain WHERE json_type(o, '$.input_patterns') = 'ARRAY') AS z
+        UNION ALL SELECT id, parent, 0, o->'$.input_patterns' FROM domain WHERE json_type(o, '$.input_patterns') = 'VARCHAR')
+      SELECT DISTINCT tbl, doc_id, parent, field, CAST(grp AS INTEGER) AS grp, CAST(pos AS INTEGER) AS pos, item FROM (
+        SELECT 'capture_detailed' AS tbl, id AS doc_id, parent, 'top12' AS field, -1 AS grp, i AS pos, CAST(try_cast(regexp_extract(CASE json_type(v) WHEN 'ARRAY' THEN v->>'$[0]' WHEN 'OBJECT' THEN coalesce(v->>'$.hexagram', v->>'$.hexagram_id', v->>'$.id') ELSE v->>'$' END, '^\\s*(\\d+)', 1) AS INTEGER) AS VARCHAR) AS item FROM top
+        UNION ALL SELECT 'capture_detailed', id, parent, 'hex_score', g, p, CAST(CAST(round(try_cast({score} AS DOUBLE) * 1e9) AS BIGINT) AS VARCHAR) FROM detail
+        UNION ALL SELECT 'domain_registry', id, parent, 'input_patterns', -1, i, CASE json_type(v) WHEN 'OBJECT' THEN v->>'$.pattern' WHEN 'NULL' THEN NULL ELSE v->>'$' END FROM pat) AS e WHERE item IS NOT NULL"""
+
+
+ORACLE = {"p1_found": _p1_sql(), "p2_found": _p2_sql(), "p5_found": _p5_sql(False), "p5_differences": _p5_sql(True)}
