@@ -285,13 +285,16 @@ def _raw(records: DataFrame) -> DataFrame:
     # One row per file, of as many entries as it has paths for the fields, in their order.
     known = meanings(file_statistics(records)).filter("field IS NOT NULL")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct(_order().alias("o"), "path", "field"))), lambda e: F.struct(e["path"].alias("path"), e["field"].alias("field")))
-    chosen = known.groupBy("file_id").agg(ordered.alias("_paths"))
+    # As text: what a file's rows have in common is read once for all of them.
+    chosen = known.groupBy("file_id").agg(F.to_json(ordered).alias("_paths"))
     rows = records.select("file_id", "row_no", "record").join(chosen, "file_id", "left").select("file_id", "row_no", "record", "_paths")
     schema = T.StructType([*rows.schema.fields[:2], *T.StructType.fromDDL("_ok boolean, " + ", ".join(f"{f} string" for f in fields) + ", others map<string,string>").fields])
     slot = {f: i for i, f in enumerate(fields)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = _reader().read
+        import json
+
+        read, plans = _reader().read, {None: []}
         for batch in batches:
             good, out, others = [], [[] for _ in fields], []
             for text, entries in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
@@ -299,10 +302,15 @@ def _raw(records: DataFrame) -> DataFrame:
                 ok = ok and isinstance(record, dict)
                 held = {plain(path): _text(value) for path, value in leaves(record)} if ok else {}
                 row = [None] * len(fields)
-                for entry in entries or ():
-                    value = held.pop(entry["path"], None)
-                    if row[slot[entry["field"]]] is None:
-                        row[slot[entry["field"]]] = value
+                plan = plans.get(entries)
+                if plan is None:
+                    if len(plans) > 10_000:
+                        plans = {None: []}
+                    plan = plans[entries] = [(e["path"], slot[e["field"]]) for e in json.loads(entries)]
+                for path, i in plan:
+                    value = held.pop(path, None)
+                    if row[i] is None:
+                        row[i] = value
                 good.append(ok)
                 others.append(list(held.items()))
                 for column, v in zip(out, row):
